@@ -1,7 +1,7 @@
 """Registry of the queries of this subpackage."""
 import importlib
 
-NAMES: list[str] = []
+NAMES: list[str] = ["lookalike_queries"]
 
 
 def modules() -> list:
