@@ -73,7 +73,7 @@ _stop = (
     r"(?:của|cua|bị|bi|nhé|nhe|giúp|giup|để|de|và|va|là|la|có|co|không|khong|khỏi|khoi|cho|thì|thi|nên|nen|rồi|roi|mà|ma|"
     r"người|nguoi|tôi|toi|em|được|duoc|đang|dang|đã|da|gửi|gui|ạ|a|phone|on|and|to|from|for|is|was|please)\b"
 )
-_name = rf"(?-i:{_U}(?: {_U}){{0,4}}|{_L}(?: {_L}){{0,3}}(?=\\s*,)|(?!{_stop}){_L}(?: (?!{_stop}){_L}){{0,3}})"
+_name = rf"(?-i:{_U}(?: {_U}){{0,4}}|{_L}(?: {_L}){{0,3}}(?=\s*,)|(?!{_stop}){_L}(?: (?!{_stop}){_L}){{0,3}})"
 _num = r"\d{1,5}\p{L}?(?:[/-]\d{1,4}\p{L}?)*"
 _area = (
     r"(?:phường|phuong|thị trấn|thi tran|thị xã|thi xa|thành phố|thanh pho|quận|quan|huyện|huyen|tỉnh|tinh|xã|xa|thôn|thon|xóm|xom|ấp|ap|"
@@ -271,8 +271,12 @@ class Surrogates:
     """Keyed replacements. ``salt`` sets redraws for entities whose draw collided."""
 
     # Parts of invented names, by gender.
-    MALE = ("Văn Kỷ", "Đình Lạc", "Hữu Sâm", "Khắc Tùng", "Quang Thạch", "Bá Nguyện", "Đức Trúc", "Công Bằng", "Duy Thông", "Thế Vinh")
-    FEMALE = ("Thị Cúc", "Mỹ Liễu", "Thu Trầm", "Ngọc Dung", "Diệu Hiền", "Kim Phụng", "Bích Đào", "Hồng Vân", "Thanh Trà", "Cẩm Tiên")
+    MALE = ("Văn", "Đình", "Hữu", "Khắc", "Quang", "Bá", "Đức", "Công", "Duy", "Thế")
+    FEMALE = ("Thị", "Mỹ", "Thu", "Ngọc", "Diệu", "Kim", "Bích", "Hồng", "Cẩm", "Tuyết")
+    GIVEN = (
+        "Kỷ Lạc Sâm Tùng Thạch Trúc Bằng Thông Vinh Cúc Liễu Trầm Dung Hiền Phụng Đào Vân Tiên Nhạn Sương Thúy Lê Băng Giáng Hân Khuyên "
+        "Ly Mẫn Nga Oanh Phấn Quyên Sao Tâm Uyên Vy Xoan Ý Ân Biên Chiến Dũng Đạt Giáp Hoan Kiên Lực Nghĩa Phong Quý Sáu Tài Thuận Út"
+    ).split()
     FIRST = ("Alder", "Bryn", "Corin", "Dara", "Elwin", "Fenna", "Garrick", "Hanne", "Ilse", "Joss", "Kester", "Linnet")
     LAST = ("Ashdown", "Birkett", "Calloway", "Dunmore", "Ellery", "Farrow", "Gladwin", "Harcourt", "Ingram", "Kestrel", "Lockyer")
     STREETS = ("Bạch Dương", "Cây Thị", "Đồng Hồ", "Gác Chuông", "Hồ Sen", "Lá Phong", "Mái Ngói", "Nắng Mai", "Sóng Xanh", "Tre Ngà")
@@ -327,12 +331,20 @@ class Surrogates:
         elif bare(text.split()[0]) in _family:
             second = bare(text.split()[1]) if len(text.split()) > 1 else ""
             female = second in {"thi", "my", "thu", "ngoc", "dieu", "kim", "bich", "hong", "cam", "tuyet", "thuy"}
-            part = self.FEMALE if female else self.MALE
-            n = self.draw(kind, entity, 10**9)
-            made = f"{FAMILY[n % len(FAMILY)]} {part[n // 1000 % len(part)]}"
+            middle = self.FEMALE if female else self.MALE
+            n = self.draw(kind, entity, 10**15)
+            words = []
+            for part in (FAMILY, middle, self.GIVEN, self.GIVEN):
+                n, place = divmod(n, len(part))
+                words.append(part[place])
+            made = " ".join(words)
         else:
-            n = self.draw(kind, entity, 10**9)
-            made = f"{self.FIRST[n % len(self.FIRST)]} {self.LAST[n // 1000 % len(self.LAST)]}"
+            n = self.draw(kind, entity, 10**15)
+            words = []
+            for part in (self.FIRST, self.LAST, self.LAST):
+                n, place = divmod(n, len(part))
+                words.append(part[place])
+            made = f"{words[0]} {words[1]}-{words[2]}"
         if text.isascii():
             made = "".join(c for c in unicodedata.normalize("NFD", made) if not unicodedata.combining(c))
             made = made.replace("đ", "d").replace("Đ", "D")
@@ -419,3 +431,24 @@ def collisions(found: DataFrame, key: str = "verdigris", salt: dict | None = Non
     """
     drawn = map_batches(found.select("pii_type", "item"), _Draw(key, salt), "pii_type string, entity string, made string")
     return drawn.distinct().groupBy("pii_type", "made").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
+
+
+#: Entities that ``salted`` may send to the workers.
+MOST_SALTS = 100_000
+
+
+def salted(found: DataFrame, key: str = "verdigris") -> dict:
+    """Redraws for entities whose surrogate fell together with another's, for ``replaced``.
+
+    All but the first entity of a surrogate, in order, get a salt. Collisions are
+    rare draws, not data, but their number is checked before they come to the driver.
+    """
+    from pyspark.sql.window import Window
+
+    drawn = map_batches(found.select("pii_type", "item"), _Draw(key, None), "pii_type string, entity string, made string").distinct()
+    order = Window.partitionBy("pii_type", "made").orderBy("entity")
+    again = drawn.withColumn("n", F.row_number().over(order)).where("n > 1").select("pii_type", "entity", "n")
+    rows = again.limit(MOST_SALTS + 1).collect()
+    if len(rows) > MOST_SALTS:
+        raise ValueError("more collisions than salts may be sent; use longer surrogates")
+    return {(row.pii_type, row.entity): str(row.n) for row in rows}
