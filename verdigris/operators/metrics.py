@@ -20,6 +20,7 @@ def per_query(gold: DataFrame, ranked: DataFrame, scorable: Column) -> DataFrame
 
 def by_type(scores: DataFrame, kind: str) -> DataFrame:
     """Means per kind and over all, in one pass; only scorable queries enter the means."""
+    # Grouping sets over no row give no total row, unlike a plain total; both are left empty here.
     mean = lambda c: F.round(F.avg(F.when(F.col("scorable"), c)), 6)
     hits = [mean(F.coalesce(F.col("first_rank") <= k, F.lit(False)).cast("double")).alias(f"hit_{k}") for k in (1, 3, 5, 10)]
     grouped = scores.groupingSets([[F.col(kind)], []], F.col(kind)).agg(

@@ -207,7 +207,7 @@ m AS (SELECT g.query, query_type, expected_doc_id IS NOT NULL AS scorable, min(C
 SELECT CASE WHEN grouping(query_type) = 1 THEN 'ALL' ELSE query_type END AS query_type, count(*) AS n, count_if(scorable)::BIGINT AS n_scorable,
  round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 1, false)::INT::DOUBLE END), 6) AS hit_1, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 3, false)::INT::DOUBLE END), 6) AS hit_3,
  round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 5, false)::INT::DOUBLE END), 6) AS hit_5, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 10, false)::INT::DOUBLE END), 6) AS hit_10,
- round(avg(CASE WHEN scorable THEN coalesce(1.0::DOUBLE / first_rank, 0.0) END), 6) AS mrr FROM m GROUP BY GROUPING SETS ((query_type), ())""",
+ round(avg(CASE WHEN scorable THEN coalesce(1.0::DOUBLE / first_rank, 0.0) END), 6) AS mrr FROM m GROUP BY GROUPING SETS ((query_type), ()) HAVING count(*) > 0""",
         "demoted": f"""WITH {bm}, b AS (FROM bmr WHERE rank <= 10), x AS (SELECT b.query, key, rank,
  round(CASE WHEN coalesce(validity <> 'valid', true) AND NOT {hist} THEN score::DOUBLE * 0.12::DOUBLE ELSE score::DOUBLE END, 8) AS new_score
  FROM b JOIN scored_evidence e ON e.evidence_row_id = key LEFT JOIN (SELECT doc_id, any_value(validity) AS validity FROM legal_documents GROUP BY doc_id) v USING (doc_id) JOIN q ON q.query = b.query)
