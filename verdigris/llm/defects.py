@@ -31,7 +31,7 @@ FIT_TEXTS, FIT_CHARS = 200, 3000
 #: Characters of an ending that are looked up.
 ENDING = 24
 #: Share of all answers that must stop alike, without a full stop, for it to be a closing phrase.
-CLOSING = 0.001
+CLOSING = 0.003
 
 # ------------------------------------------------------------------ languages
 _unit = regex.compile(r"[\p{Latin}\p{M}]+|[^\s\p{Latin}\p{P}\p{N}\p{S}\p{M}]")
@@ -92,9 +92,6 @@ class Languages:
             for gram in grams:
                 for k, s in enumerate(self.scores.get(gram, self.unseen)):
                     sums[k] += s
-            if len(self.matrix) > 300_000:
-                self.rows.clear()
-                self.matrix.clear()
             place = self.rows[unit] = len(self.matrix)
             self.matrix.append([s / len(grams) * min(len(grams), 6) for s in sums])
         return place
@@ -102,12 +99,12 @@ class Languages:
     def posteriors(self, text: str) -> dict:
         """Language to probability; empty for a text without letters."""
         units = _unit.findall(text.lower())
+        if len(self.matrix) > 300_000:
+            self.rows.clear()
+            self.matrix.clear()
         if not units or not self.names:
             return {}
-        sums = [0.0] * len(self.names)
-        for unit in units:
-            row = self.matrix[self._row(unit)]
-            sums = [a + b for a, b in zip(sums, row)]
+        sums = list(map(sum, zip(*[self.matrix[self._row(unit)] for unit in units])))
         top = max(sums)
         weights = [math.exp(s - top) for s in sums]
         return {n: w / sum(weights) for n, w in zip(self.names, weights)}
@@ -151,8 +148,11 @@ def body_of(answer: str) -> str:
         answer = answer[m.end() :]
 
 
+_silent = regex.compile(r"[\W_]+")
+
+
 def _letters(text: str) -> str:
-    return "".join(c for c in lookalike.by_table(text).lower() if c.isalnum())
+    return _silent.sub("", lookalike.by_table(text).lower())
 
 
 def copies(question: str, answer: str) -> bool:
@@ -191,6 +191,9 @@ _sentences = regex.compile(r"[^.!?。！？\n]+")
 
 def refuses(answer: str) -> bool:
     """Every sentence declines, excuses itself or sends elsewhere, and one at least declines."""
+    plain = bare(lookalike.by_table(answer)).replace("’", "'")
+    if not _refuses.search(plain):
+        return False
     declined = False
     for m in _sentences.finditer(bare(lookalike.by_table(body_of(_tail.sub("", answer)))).replace("’", "'")):
         sentence = m[0].strip(" \t*_-–:,;\"'“”()")
@@ -296,10 +299,10 @@ def judged(pairs: DataFrame, languages: Languages) -> DataFrame:
     seen = cut(map_batches(pairs, _Judge(languages), schema))
     inner = seen.select(F.explode("inner").alias("last")).groupBy("last").agg(F.count("*").alias("n"))
     closing = seen.where("last is not null").groupBy("last").agg(F.count("*").alias("n_last"))
+    n_all = seen.agg(F.count("*")).scalar()
     complete = (
         closing.join(inner, "last", "left")
-        .crossJoin(F.broadcast(seen.agg(F.count("*").alias("n_all"))))  # one row
-        .where((F.col("n").isNotNull()) | ((F.col("n_last") > 1) & (F.col("n_last") >= CLOSING * F.col("n_all"))))
+        .where((F.col("n").isNotNull()) | ((F.col("n_last") > 1) & (F.col("n_last") >= CLOSING * n_all)))
         .select("last", F.lit(True).alias("complete"))
     )
     # A frequent ending is one row on this side; the hot answers are split by adaptive execution.

@@ -51,6 +51,7 @@ IGNORABLE = (
 #: Kinds of blank drawn as one blank; line breaks aren't.
 BLANKS = "\t\u00a0\u1680\u2000-\u200a\u202f\u205f\u2800\u3000"
 
+_lookalikes = str.maketrans(LOOKALIKES)
 _ignorable = regex.compile(f"[{IGNORABLE}]")
 _blank = regex.compile(f"[ {BLANKS}]")
 _wide = regex.compile("[！-～｡-ﾟﾡ-ￜ￠-￦]+")
@@ -64,11 +65,13 @@ VOCABULARY = 20_000
 
 
 def by_table(token: str) -> str:
-    """The normal form of one token, by the tables alone."""
+    """The normal form of one token or text, by the tables alone."""
+    if _plain.fullmatch(token):
+        return token
     token = _ignorable.sub("", token)
     token = _wide.sub(lambda m: unicodedata.normalize("NFKC", m[0]), token)
     token = unicodedata.normalize("NFD", token)
-    token = "".join(LOOKALIKES.get(c, c) for c in token)
+    token = token.translate(_lookalikes)
     return unicodedata.normalize("NFC", token)
 
 

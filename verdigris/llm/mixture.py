@@ -161,8 +161,8 @@ class Plan:
             .agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
         )
         table = self._table().join(given, "source", "left").na.fill(0, ["tokens", "most_repeats"])
-        total = given.agg(F.sum("tokens").alias("all_tokens"))  # one row
-        return table.crossJoin(F.broadcast(total)).select(
+        total = F.coalesce(given.agg(F.sum("tokens")).scalar(), F.lit(0))
+        return table.withColumn("all_tokens", total).select(
             "source",
             "target_share",
             "max_repeats",

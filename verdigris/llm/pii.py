@@ -52,10 +52,21 @@ def plain_form(text: str):
     return "".join(out), spans
 
 
+class _Bare(dict):
+    """Per code point its letter without accents, nothing for a mark."""
+
+    def __missing__(self, point: int) -> str:
+        form = unicodedata.normalize("NFD", chr(point))
+        self[point] = "".join(c for c in form if not unicodedata.combining(c)).replace("đ", "d")
+        return self[point]
+
+
+_bare = _Bare()
+
+
 def bare(text: str) -> str:
     """Lower case without accents."""
-    low = unicodedata.normalize("NFD", text.lower())
-    return "".join(c for c in low if not unicodedata.combining(c)).replace("đ", "d")
+    return text.lower().translate(_bare)
 
 
 # ------------------------------------------------------------------ e-mail
