@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def relevant(document: str, article: str, gold_document: str, gold_article: str) -> Column:
@@ -33,11 +34,27 @@ def by_type(scores: DataFrame, kind: str) -> DataFrame:
     return grouped.withColumn(kind, F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col(kind))).drop("_all")
 
 
-def index_percentile(value: str, share: float) -> Column:
-    """The value at place floor(n * share) of the sorted list, counted from 0, as an aggregate.
+def order_statistic(df: DataFrame, group: str, value: str, share: float, out: str, buckets: int = 1024) -> DataFrame:
+    """(group, out): the value at place floor(n * share) of the group's sorted values, counted from 0.
 
-    Differs from an interpolated percentile; the place never passes the end.
+    Values are counted in equal ranges between the group's least and greatest;
+    only the range that holds the place is sorted. Groups of any size combine
+    map-side, and no list of values is collected. Nulls don't count; a group
+    without values has no row. The place never passes the end.
     """
-    ordered = F.array_sort(F.collect_list(value))
-    place = F.least(F.floor(F.size(ordered) * share), F.size(ordered) - 1).cast("int")
-    return F.get(ordered, place)
+    v = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy(group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    width = F.greatest((F.col("_high") - F.col("_low")) / buckets, F.lit(1e-300))
+    binned = v.join(ends, group).withColumn("_bin", F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(buckets - 1)))
+    counts = binned.groupBy(group, "_bin", "_n").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
+    found = (
+        counts.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0)))
+        .withColumn("_place", place)
+        .where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_k")))
+        .select(group, "_bin", (F.col("_place") - F.col("_before") + 1).alias("_nth"))
+    )
+    inside = binned.join(found, [group, "_bin"])
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("_v"))
+    return inside.withColumn("_r", nth).where("_r = _nth").select(group, F.col("_v").alias(out))
