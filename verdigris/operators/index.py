@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import tokens
+from verdigris.session import cut, spread
 
 K1, B = 1.5, 0.75
 
@@ -16,9 +17,21 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     ``dl`` is carried from the token array, so no second pass counts lengths.
     Chunks without tokens have no postings.
     """
-    words = chunks.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
-    spread = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return spread.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    words = spread(chunks.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", tokens(F.col("text")).alias("words"))
+    terms = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return terms.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+class Index:
+    """Postings written once; statistics and rankings read them."""
+
+    def __init__(self, chunks: DataFrame, key: str, text: str):
+        self.postings = cut(postings(chunks, key, text))
+
+    def statistics(self) -> DataFrame:
+        """One row: chunks with tokens (n) and their mean length (avgdl)."""
+        sizes = self.postings.groupBy("key").agg(F.sum("tf").alias("dl"))
+        return sizes.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -28,7 +41,7 @@ def term_statistics(index: DataFrame) -> DataFrame:
 
 def corpus_statistics(chunks: DataFrame, text: str) -> DataFrame:
     """One row: the number of chunks with tokens and their mean length."""
-    sizes = chunks.select(F.size(tokens(F.col(text))).alias("dl")).where("dl > 0")
+    sizes = spread(chunks.select(F.col(text).alias("text"))).select(F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0")
     return sizes.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 

@@ -26,16 +26,22 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("row_id").alias("query"), F.col("question").alias("text"))
 
 
+def _index(spark, d):
+    return index.Index(chunks(spark, d), "evidence_row_id", "content")
+
+
 def _bm25(spark, d, k=10):
-    return retrieve.bm25(questions(spark, d), chunks(spark, d), "content", "evidence_row_id", k)
+    return retrieve.bm25(questions(spark, d), _index(spark, d), k)
 
 
-def _overlap(spark, d, k=10):
-    return retrieve.overlap(questions(spark, d), chunks(spark, d), "content", "evidence_row_id", k)
+def _both(spark, d, k=10):
+    """Both rankings from one index."""
+    made, q = _index(spark, d), questions(spark, d)
+    return retrieve.bm25(q, made, k), retrieve.overlap(q, made, k)
 
 
 def _fused(spark, d, k=10):
-    return retrieve.fuse(_bm25(spark, d, 20), _overlap(spark, d, 20), k)
+    return retrieve.fuse(*_both(spark, d, 20), k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +49,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _overlap(spark, d).select("query", F.col("key").alias("evidence_row_id"), "rank", "score")
+    return retrieve.overlap(questions(spark, d), _index(spark, d)).select("query", F.col("key").alias("evidence_row_id"), "rank", "score")
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +87,8 @@ def exact_reference(spark: SparkSession, d: str) -> DataFrame:
 
 def first_seen_union(spark: SparkSession, d: str) -> DataFrame:
     """Rankings of several methods as one list, each chunk where it came first."""
-    both = _bm25(spark, d).select("query", "key", "rank", F.lit(1).alias("arm")).unionByName(_overlap(spark, d).select("query", "key", "rank", F.lit(2).alias("arm")))
+    first, second = _both(spark, d)
+    both = first.select("query", "key", "rank", F.lit(1).alias("arm")).unionByName(second.select("query", "key", "rank", F.lit(2).alias("arm")))
     return retrieve.first_seen(both, "query", "arm").select("query", F.col("key").alias("evidence_row_id"), "arm", "rank")
 
 
@@ -107,9 +114,9 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
-    n = index.corpus_statistics(c, "content").select("n").scalar()
-    df = index.term_statistics(index.postings(c, "evidence_row_id", "content"))
+    made = _index(spark, d)
+    n = made.statistics().select("n").scalar()
+    df = index.term_statistics(made.postings)
     return df.select("term", "df", F.round(F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -148,7 +155,7 @@ def parent_clauses(spark: SparkSession, d: str) -> DataFrame:
 def near_questions(spark: SparkSession, d: str) -> DataFrame:
     """Stored questions nearest to each stated one by shared tokens, with the margin to the next."""
     stored = table(spark, d, "phase5b_eval_dataset").select(F.col("row_id").alias("stored"), "question")
-    ranked = retrieve.overlap(questions(spark, d), stored, "question", "stored", 25).where("key <> query")
+    ranked = retrieve.overlap(questions(spark, d), index.Index(stored, "stored", "question"), 25).where("key <> query")
     pairs = ranked.join(stored.select(F.col("stored").alias("key"), F.col("question").alias("other")), "key").join(questions(spark, d), "query")
     a, b = t.search_key(F.col("text")), t.search_key(F.col("other"))
     ratio = F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 6)

@@ -8,6 +8,7 @@ a table arrives as a single small file.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Steps of a plan whose output is partitioned by its own shuffle; asking for the number would run it.
+_SHUFFLED = re.compile(r"\b(?:Join|Aggregate|Window|Repartition\w*|Sort|Distinct|Deduplicate|GlobalLimit|RebalancePartitions)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only if the input has fewer partitions than there are cores.
+    """Repartition only if a plain scan has fewer partitions than there are cores.
 
-    A large table is already split by its files and passes without a shuffle.
+    A large table is already split by its files and passes without a shuffle, as
+    does everything that comes out of one.
     """
+    if _SHUFFLED.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
