@@ -36,19 +36,41 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def text_files(spark: SparkSession, path: str, encodings=("UTF-8", "UTF-16", "windows-1258", "ISO-8859-1"), most: int = 15_000) -> DataFrame:
-    """(path, size, sha256, encoding, text): whole files, decoded by the first encoding that gives no replacement sign.
-
-    The text is capped at ``most`` characters, which is the attachment limit of
-    the interface, not of the reader; None keeps all.
+def _code_page(name: str) -> tuple[str, tuple[str, str]]:
+    """Latin-1 characters that a code page leaves undefined, and those it means otherwise with what they mean."""
+    undefined, here, there = "", "", ""
+    for byte in range(128, 256):
+        try:
+            meant = bytes([byte]).decode(name)
+        except UnicodeDecodeError:
+            undefined += chr(byte)
+            continue
+        if meant != chr(byte):
+            here, there = here + chr(byte), there + meant
+    return undefined, (here, there)
+
+
+def text_files(spark: SparkSession, path: str, most: int | None = 15_000) -> DataFrame:
+    """(path, size, sha256, encoding, text): whole files, by the first encoding that fits.
+
+    UTF-8, UTF-16 if it says so, the Vietnamese code page, at last Latin-1,
+    which fits anything. The text is capped at ``most`` characters, which is the
+    interface's limit for attachments; None keeps all.
     """
     raw = spark.read.format("binaryFile").load(path)
-    options = []
-    for name in encodings:
-        decoded = F.expr(f"try_to_binary(hex(content), 'hex')")  # noqa: F541
-        text = F.decode(decoded, name)
-        options.append(F.when(~F.contains(text, F.lit("�")) & ~F.contains(text, F.lit("\x00")), F.struct(F.lit(name).alias("encoding"), text.alias("text"))))
-    chosen = F.coalesce(*options, F.struct(F.lit(None).cast("string").alias("encoding"), F.lit("").alias("text")))
+    content = F.col("content")
+    utf8 = F.try_validate_utf8(content.cast("string"))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    latin = F.decode(content, "ISO-8859-1")
+    undefined, moved = _code_page("cp1258")
+    defined = ~latin.rlike(f"[{undefined}]")
+    as_text = lambda name, text: F.struct(F.lit(name).alias("encoding"), text.alias("text"))
+    chosen = (
+        F.when(marked, as_text("UTF-16", F.decode(content, "UTF-16")))
+        .when(utf8.isNotNull(), as_text("UTF-8", utf8))
+        .when(defined, as_text("windows-1258", F.translate(latin, *moved)))
+        .otherwise(as_text("ISO-8859-1", latin))
+    )
     text = F.col("c.text") if most is None else F.substring(F.col("c.text"), 1, most)
     return raw.withColumn("c", chosen).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "c.encoding", text.alias("text"))
 
