@@ -2,10 +2,10 @@
 
 The items are folded to plain letters and digits and put into one generalised
 suffix automaton. Each training text streams through it character by
-character; the automaton's state and the matched length say at every word's
-end which items' runs of ``WORDS`` words have just been completed. Blanks take
-no part in the match, so lost or added ones don't matter; that a run starts and
-ends where words of the text do is checked on the way.
+character; the automaton's state and the matched length say which items' runs
+of ``WORDS`` words have just been completed. Blanks take no part in the match,
+so lost or added ones don't matter; a run counts only if it starts and ends
+where words of the text do, or goes on beyond there in text and item alike.
 
 Defined results: null, empty and blank texts hold nothing; items with fewer
 than ``WORDS`` words can't be held; repeated items each count.
@@ -121,28 +121,38 @@ class SuffixAutomaton:
         nexts, link, length, done = self.next, self.link, self.length, self.done
         found: dict = {}
         state = matched = total = 0
-        starts = set()
+        starts, pending = set(), []
         for word in words:
             starts.add(total)
-            total += len(word)
             for c in word:
                 step = nexts[state].get(c)
+                if step is None or pending:
+                    if step is not None:
+                        # The run goes on in the text as in the item: a blank was lost there.
+                        for item, room in pending:
+                            found[item] = max(room, found.get(item, 0))
+                    pending = []
                 while step is None and state:
                     state = link[state]
                     matched = length[state]
                     step = nexts[state].get(c)
+                total += 1
                 if step is None:
                     matched = 0
-                else:
-                    state = step
-                    matched += 1
-            up = state
-            while up > 0 and done[up]:
-                room = matched if up == state else length[up]
-                for need, item in done[up]:
-                    if need <= room and total - need in starts:
-                        found[item] = max(room, found.get(item, 0))
-                up = link[up]
+                    continue
+                state = step
+                matched += 1
+                up = state
+                while up > 0 and done[up]:
+                    room = matched if up == state else length[up]
+                    for need, item in done[up]:
+                        # The run of words starts where a word of the text does, or within a longer run.
+                        if need < room or need == room and total - need in starts:
+                            pending.append((item, room))
+                    up = link[up]
+            for item, room in pending:
+                found[item] = max(room, found.get(item, 0))
+            pending = []
         return found
 
 

@@ -294,11 +294,12 @@ def chunk_function(text: str, lo: int, hi: int, entries=range(STATES)):
     exits, starts = [], []
     for entry in entries:
         state, mine = entry, []
-        at = visible(max(lo, reach) if state == BETWEEN else lo)
-        if state == BETWEEN and at < hi:
-            mine.append(at)
-            state = 1
-        opened = at if state else hi
+        opened = lo
+        if state == BETWEEN:
+            opened = visible(max(lo, reach))
+            if opened < hi:
+                mine.append(opened)
+                state = 1
         for event, place, over in found:
             if state == BETWEEN or place < opened and event != OPEN:
                 continue
