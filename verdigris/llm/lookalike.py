@@ -32,13 +32,13 @@ LOOKALIKES = dict(
         "асԁеһіјӏорԛѕуԝх"  # Cyrillic small letters
         "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"  # Greek capitals
         "ονϲϳ"  # Greek small letters
-        "ÐƉᎠ"  # other letters with the stroke of the Vietnamese D
+        "ÐƉðᎠ"  # other letters with the stroke of the Vietnamese D
         "ɑɡօոսհⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ",  # Latin, Armenian and numeral forms
         "ABESIJKMHOPCTYXYWQ"
         "acdehijlopqsywx"
         "ABEZHIKMNOPTYXCJ"
         "ovcj"
-        "ĐĐD"
+        "ĐĐđD"
         "agonuhIVXLCDMivxlcdm",
     )
 )

@@ -121,16 +121,21 @@ _old_cue = regex.compile(
 _insurance = regex.compile(rf"(?i){_free}(?:\d{{10}}|\d{{2,4}}(?:[ .-]\d{{2,4}}){{2,3}}|\d(?: \d){{9}}){_shut}{_money}")
 _insurance_cue = regex.compile(r"(?i)(?:(?:bhxh|bảo hiểm xã hội|bao hiem xa hoi|sổ bảo hiểm|so bao hiem|social insurance)[^.?!\n\d]{0,30}|\bsổ (?:số )?)$")
 _passport = regex.compile(r"(?i)(?<![\w-])[a-z][ -]?\d{7}(?![\w])(?![.,/-]\d)")
-_passport_cue = regex.compile(r"(?i)(?:hộ chiếu|ho chieu|passport)[^.?!\n]{0,45}$")
+_passport_cue = regex.compile(r"(?i)(?:hộ chiếu|ho chieu|passport)[^?!\n]{0,45}$")
 _phone = regex.compile(
     r"(?<![\p{L}\p{N}_])(?<![.,/-])(?<!\+)(?:"
-    r"(?:\(\+84\)|\+84|0084|\(84\)|\(0084\))[ .-]?\d(?:[ .-]?\d){8}"
+    r"(?:\(\+84\)|\+84|0084|\(84\)|\(0084\))[ .-]?(?:\(0\))?\d(?:[ .-]?\d){8}"
+    r"|84[35789]\d{8}"
     r"|\(0\d{2,3}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|0[2-9]\d(?:[ .-]?\d){7}"
     r"|0 [2-9](?: \d){8}"
     r")(?![\p{L}\p{N}_])(?![.,/-]\d)"
 )
 
+_not_phone = regex.compile(r"(?i)(?:mã số thuế|ma so thue|mst|tax (?:code|id)|tài khoản|tai khoan|account)[^.?!\n\d]{0,20}$")
+# An office's address isn't a dwelling's.
+_office = regex.compile(r"(?i)(?:trụ sở|tru so|văn phòng|van phong|công ty|cong ty|cty|chi nhánh|chi nhanh|cơ quan|co quan|nhà máy|nha may|office)[^.?!\n,;]{0,25}(?:ở|tại|o|tai|at|:)\s*$")
+
 # ------------------------------------------------------------------ persons
 # Vietnamese family names.
 FAMILY = (
@@ -218,7 +223,7 @@ def _person_spans(text: str):
                     spans.append((start, tokens[k][1]))
                     i = k + 1
                     continue
-            if case in "TU" and same and not known and _cue.search(text[:start]):
+            if case in "TU" and same and not (known and three) and _cue.search(text[:start]):
                 k = i + 1
                 while k < i + 3 and joined(k) and _case(tokens[k + 1][2]) == case:
                     k += 1
@@ -259,7 +264,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in _email.finditer(work):
         take(m.start(), m.end(), "EMAIL")
     for m in list(_address.finditer(work)):
-        take(m.start(), m.end(), "ADDRESS")
+        if not _office.search(work[max(0, m.start() - 60) : m.start()]):
+            take(m.start(), m.end(), "ADDRESS")
     for m in list(_passport.finditer(work)):
         if _passport_cue.search(work[: m.start()]):
             take(m.start(), m.end(), "NATIONAL_ID")
@@ -269,7 +275,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for m in list(_card.finditer(work)):
         take(m.start(), m.end(), "NATIONAL_ID")
     for m in list(_phone.finditer(work)):
-        take(m.start(), m.end(), "PHONE")
+        if not _not_phone.search(work[max(0, m.start() - 40) : m.start()]):
+            take(m.start(), m.end(), "PHONE")
     for m in list(_old_card.finditer(work)):
         if _old_cue.search(work[: m.start()].replace("\x00", "0")):
             take(m.start(), m.end(), "NATIONAL_ID")
