@@ -163,3 +163,32 @@ def test_as_of_takes_equal_times(spark):
     right = spark.createDataFrame([(3, 9, t0, 5.0), (4, 9, t0 - timedelta(minutes=5), 4.0)], "e int, u int, ts timestamp, v double")
     got = {r.e: r.as_of for r in timeline.as_of(left, right, "u", "ts", "v", "e").collect()}
     assert got == {1: 5.0, 2: None}
+
+
+def test_accents_restored_on_unseen_texts(spark):
+    import random
+
+    from verdigris.operators import restore
+
+    rng = random.Random(8)
+    who = ["người lao động", "nhà máy", "kế toán viên", "lao động thời vụ", "phòng nhân sự"]
+    what = ["phải nộp bảng chấm công", "được hưởng phụ cấp ca đêm", "không được khấu trừ lương", "phải ký lại hợp đồng"]
+    when = ["trong vòng mười ngày", "sau khi thử việc", "trước ngày nghỉ phép"]
+    made = [f"{rng.choice(who)} {rng.choice(what)} {rng.choice(when)}".capitalize() for _ in range(200)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(made[:150])] + [(900, None), (901, "")], "id int, body string")
+    known = restore.dictionary(df, "body")
+    bare = spark.createDataFrame([(i, s) for i, s in enumerate(made[150:])], "row_id bigint, text string").withColumn("text", F.translate("text", t.MARKED + t.MARKED.upper(), t.BASE + t.BASE.upper()))
+    out = {r.row_id: r.text for r in restore.restored(bare, known).collect()}
+    assert sum(out[i] == s for i, s in enumerate(made[150:])) >= 45
+    other = spark.createDataFrame([(1, "The worker may ask for overtime pay under the contract."), (2, None), (3, "")], "row_id bigint, text string")
+    assert {r.row_id: r.text for r in restore.restored(other, known).collect()} == {1: "The worker may ask for overtime pay under the contract.", 2: None, 3: ""}
+
+
+def test_rules(spark):
+    from verdigris.operators import rules
+
+    table = [{"name": "a", "any": ["tai nạn"], "none": ["xe"]}, {"name": "b", "any": ["tai"]}]
+    assert one(spark, rules.first_match(F.col("s"), table, "z"), s="Tai nạn xe") == "b"
+    assert one(spark, rules.labels(F.col("s"), table), s="Tai nạn") == ["a", "b"] and one(spark, rules.first_match(F.col("s"), table, "z"), s=None) == "z"
+    assert one(spark, rules.remainder(F.col("s"), ["cam on", "chao ban"]), s="Chào bạn, cảm ơn nhé!") == "nhe"
+    assert one(spark, rules.numbers_kept(F.col("a"), F.col("b")), a="12 ngày, 5 giờ", b="5 và 12") and not one(spark, rules.numbers_kept(F.col("a"), F.col("b")), a="13", b="12")

@@ -21,8 +21,12 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "scored_evidence")
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "phase5b_eval_dataset").where(F.col("row_id") % 50 == 0)
+#: Every so many questions are a query of the stated set.
+EVERY = 50
+
+
+def questions(spark: SparkSession, d: str, every: int = EVERY) -> DataFrame:
+    q = table(spark, d, "phase5b_eval_dataset").where(F.col("row_id") % every == 0)
     return q.select(F.col("row_id").alias("query"), F.col("question").alias("text"))
 
 
@@ -52,6 +56,12 @@ def overlap_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.overlap(questions(spark, d), _index(spark, d)).select("query", F.col("key").alias("evidence_row_id"), "rank", "score")
 
 
+def hybrid_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The fused ranking of every question."""
+    made, q = _index(spark, d), questions(spark, d, 1)
+    return retrieve.fuse(retrieve.bm25(q, made, 20), retrieve.overlap(q, made, 20)).select("query", "key", "rank", "score")
+
+
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query", F.col("key").alias("evidence_row_id"), "rank", "score", "rank_a", "rank_b")
 
