@@ -51,9 +51,25 @@ class _Fold(dict):
 FOLD = _Fold()
 
 
+class _Words(dict):
+    """Per stretch without blanks its folded words; stretches met before are remembered."""
+
+    def __missing__(self, stretch: str) -> tuple:
+        if len(self) > 300_000:
+            self.clear()
+        self[stretch] = tuple(stretch.translate(FOLD).split())
+        return self[stretch]
+
+
+_words = _Words()
+
+
 def words_of(text: str) -> list[str]:
     """The folded words of a text."""
-    return text.translate(FOLD).split()
+    out: list[str] = []
+    for stretch in text.split():
+        out += _words[stretch]
+    return out
 
 
 class SuffixAutomaton:
@@ -88,6 +104,31 @@ class SuffixAutomaton:
                 if need <= room and need < gathered[up].get(item, room + 1):
                     gathered[up][item] = need
         self.done = [tuple((need, item) for item, need in g.items()) for g in gathered]
+        self.steps: dict = {}
+
+    #: Steps over whole words that are remembered.
+    MOST_STEPS = 1_000_000
+
+    def _over(self, state: int, word: str):
+        """What a whole word does from a state: (next state, matched length or -1 if the word only adds to it), or
+        None where items may be complete on the way and every character must be looked at."""
+        nexts, link, length, done = self.next, self.link, self.length, self.done
+        fixed = -1
+        for c in word:
+            step = nexts[state].get(c)
+            while step is None and state:
+                state = link[state]
+                fixed = length[state]
+                step = nexts[state].get(c)
+            if step is None:
+                fixed = 0
+                continue
+            state = step
+            if fixed >= 0:
+                fixed += 1
+            if done[state]:
+                return None
+        return state, fixed
 
     def _extend(self, c, last, own):
         nexts, link, length = self.next, self.link, self.length
@@ -118,12 +159,24 @@ class SuffixAutomaton:
 
     def stream(self, words: list[str]) -> dict:
         """Per item the longest run of the text's characters it shares, where a whole run of words is completed."""
-        nexts, link, length, done = self.next, self.link, self.length, self.done
+        nexts, link, length, done, steps = self.next, self.link, self.length, self.done, self.steps
         found: dict = {}
         state = matched = total = 0
         starts, pending = set(), []
         for word in words:
             starts.add(total)
+            if not pending:
+                key = (state, word)
+                over = steps.get(key, 0)
+                if over == 0:
+                    if len(steps) > self.MOST_STEPS:
+                        steps.clear()
+                    over = steps[key] = self._over(state, word)
+                if over is not None:
+                    state, fixed = over
+                    total += len(word)
+                    matched = matched + len(word) if fixed < 0 else fixed
+                    continue
             for c in word:
                 step = nexts[state].get(c)
                 if step is None or pending:
