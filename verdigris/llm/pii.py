@@ -77,6 +77,8 @@ _email = regex.compile(
     rf"|(?<![\w.+-])[a-z0-9][a-z0-9._+-]*\s+at\s+[a-z0-9-]+(?:(?:\.|\s+dot\s+)[a-z0-9-]+)*\s+dot\s+[a-z]{{2,}}\b"
 )
 
+_email_hint = regex.compile(r"(?i)@|a[ -]?[cm][oòó][cn]|[(\[{<\s]at[)\]}>\s]")
+
 # ------------------------------------------------------------------ addresses
 _U = r"\p{Lu}[\p{L}\p{M}'’-]*"
 _L = r"\p{Ll}[\p{L}\p{M}'’-]*"
@@ -107,6 +109,11 @@ _address = regex.compile(
     r")"
 )
 
+# What every address has somewhere; texts without it aren't searched for whole ones.
+_address_hint = regex.compile(
+    rf"(?i)\d\p{{L}}?,? ?(?:{_road}|chung|tòa|toa|khu tập|cc)|{_lane} \d|[,;]\s*(?:{_area}|{_unit} \d)|\b{_way}\b"
+)
+
 # ------------------------------------------------------------------ numbers
 _free = r"(?<![\p{L}\p{N}_])(?<![.,/+-])"
 _shut = r"(?![\p{L}\p{N}_])(?![.,/-]\d)"
@@ -121,6 +128,7 @@ _old_cue = regex.compile(
 _insurance = regex.compile(rf"(?i){_free}(?:\d{{10}}|\d{{2,4}}(?:[ .-]\d{{2,4}}){{2,3}}|\d(?: \d){{9}}){_shut}{_money}")
 _insurance_cue = regex.compile(r"(?i)(?:(?:bhxh|bảo hiểm xã hội|bao hiem xa hoi|sổ bảo hiểm|so bao hiem|social insurance)[^.?!\n\d]{0,30}|\bsổ (?:số )?)$")
 _passport = regex.compile(r"(?i)(?<![\w-])[a-z][ -]?\d{7}(?![\w])(?![.,/-]\d)")
+_passport_hint = regex.compile(r"(?i)hộ chiếu|ho chieu|passport")
 _passport_cue = regex.compile(r"(?i)(?:hộ chiếu|ho chieu|passport)[^?!\n]{0,45}$")
 _phone = regex.compile(
     r"(?<![\p{L}\p{N}_])(?<![.,/-])(?<!\+)(?:"
@@ -189,6 +197,19 @@ def _case(token: str) -> str:
     return "L"
 
 
+class _Begins(dict):
+    """Per token whether a name may begin with it: a family name, or a capitalised word of plain letters."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = bare(token) in _family or token.isascii() and token[0].isupper() and token.lower() not in _not_name
+        return self[token]
+
+
+_begins = _Begins()
+
+
 def _person_spans(text: str):
     """Spans of full personal names, from left to right."""
     tokens = [(m.start(), m.end(), m[0]) for m in _token.finditer(text)]
@@ -199,6 +220,9 @@ def _person_spans(text: str):
 
     while i < n:
         start, end, token = tokens[i]
+        if not _begins[token]:
+            i += 1
+            continue
         low, flat, case = token.lower(), bare(token), _case(token)
         if flat in _family and joined(i):
             two = tokens[i + 1][2]
@@ -261,12 +285,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found.append((start, end, kind))
         work = work[:start] + "\x00" * (end - start) + work[end:]
 
-    for m in _email.finditer(work):
+    for m in _email.finditer(work) if _email_hint.search(work) else ():
         take(m.start(), m.end(), "EMAIL")
-    for m in list(_address.finditer(work)):
+    for m in list(_address.finditer(work)) if _address_hint.search(work) else ():
         if not _office.search(work[max(0, m.start() - 60) : m.start()]):
             take(m.start(), m.end(), "ADDRESS")
-    for m in list(_passport.finditer(work)):
+    for m in list(_passport.finditer(work)) if _passport_hint.search(work) else ():
         if _passport_cue.search(work[: m.start()]):
             take(m.start(), m.end(), "NATIONAL_ID")
     for m in list(_insurance.finditer(work)):
