@@ -57,7 +57,7 @@ def a_soft_delete(spark: SparkSession, d: str) -> DataFrame:
 def a_owned(spark: SparkSession, d: str) -> DataFrame:
     """Turns of one owner, visible while the owner has given feedback."""
     active = table(spark, d, "feedback").select("owner_id")
-    return admin.owned(table(spark, d, "turns").select("turn_row_id", "owner_id", "conv_id"), "owner_id", F.lit("u0000000"), active)
+    return admin.owned(table(spark, d, "turns").select("turn_row_id", "owner_id", "conv_id"), "owner_id", F.lit("u0000001"), active)
 
 
 def a_claimable(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def oracle_sql() -> dict:
         "a_details": "SELECT event_id, substring(props ->> '$.k', 1, 500) AS k FROM events",
         "a_upsert": "SELECT id, feedback_row_id, rating, status, ingested_at FROM feedback QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, feedback_row_id DESC) = 1",
         "a_soft_delete": "SELECT feedback_row_id, owner_id, rating FROM feedback f WHERE NOT EXISTS (SELECT 1 FROM feedback g WHERE g.owner_id = f.owner_id AND g.rating = 'down' AND NOT g.share_consent)",
-        "a_owned": "SELECT turn_row_id, owner_id, conv_id FROM turns WHERE owner_id = 'u0000000' AND owner_id IN (SELECT owner_id FROM feedback)",
+        "a_owned": "SELECT turn_row_id, owner_id, conv_id FROM turns WHERE owner_id = 'u0000001' AND owner_id IN (SELECT owner_id FROM feedback)",
         "a_claimable": """SELECT CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, count(*) AS n, min(event_id) AS first_job FROM events
  WHERE event_type IN ('signup', 'error') OR event_type = 'click' AND ts < TIMESTAMP '2024-01-15 11:50:00' GROUP BY 1""",
         "a_audit_rows": f"""WITH a AS (SELECT * FROM phase5_7_cases_results QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY run_at, case_row_id) = 1),
