@@ -174,20 +174,22 @@ class Canonical:
 
 
 def vocabulary(texts: DataFrame, column: str, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words in normal form, over all texts; ties in code point order.
+    """The most frequent words in normal form that hold a letter beyond ASCII, over all texts; ties in code point order.
 
-    Counted in the JVM with map-side combining; at most ``size`` words come to
-    the driver, each at most 64 characters long.
+    Counted in the JVM with map-side combining. At most four times ``size``
+    words of up to 64 characters come to the driver, which keeps those in normal
+    form; the rest of the vocabulary is normalised by table to the same result.
     """
     words = (
-        texts.select(F.explode(F.split(column, r"[\s ]+")).alias("word"))
-        .where(F.length("word").between(1, 64) & ~F.col("word").rlike(f"[^{PLAIN}ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝàáâãèéêìíòóôõùúýĂăĐđĨĩŨũƠơƯưẠ-ỹ]") & F.col("word").rlike(r"[^\x00-\x7f]"))
+        texts.select(F.explode(F.split(column, r"[\s\u00a0]+")).alias("word"))
+        .where(F.length("word").between(1, 64))
         .groupBy("word")
         .count()
         .orderBy(F.desc("count"), "word")
-        .limit(size)
+        .limit(4 * size)
     )
-    return [row.word for row in words.collect()]
+    kept = (row.word for row in words.collect() if not row.word.isascii() and _plain.fullmatch(row.word))
+    return [word for word, _ in zip(kept, range(size))]
 
 
 class _Signature:
