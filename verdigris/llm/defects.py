@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import regex
 
 from pyspark.sql import DataFrame
@@ -82,32 +83,36 @@ class Languages:
                 row[place] = math.log((1 - FLAT) * count / total + FLAT / vocabulary)
         self.unseen = [0.0] * len(self.names)
         self.rows: dict = {}
-        self.matrix: list = []
+        self.matrix = np.zeros((4096, max(1, len(self.names))))
+
+    #: Words whose scores are remembered.
+    MOST_ROWS = 200_000
 
     def _row(self, unit: str) -> int:
-        place = self.rows.get(unit)
-        if place is None:
-            grams = _grams(unit)
-            sums = [0.0] * len(self.names)
-            for gram in grams:
-                for k, s in enumerate(self.scores.get(gram, self.unseen)):
-                    sums[k] += s
-            place = self.rows[unit] = len(self.matrix)
-            self.matrix.append([s / len(grams) * min(len(grams), 6) for s in sums])
+        """The place of the word's scores."""
+        grams = _grams(unit)
+        sums = [0.0] * len(self.names)
+        for gram in grams:
+            for k, s in enumerate(self.scores.get(gram, self.unseen)):
+                sums[k] += s
+        place = self.rows[unit] = len(self.rows)
+        if place >= len(self.matrix):
+            self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[place] = [s / len(grams) * min(len(grams), 6) for s in sums]
         return place
 
     def posteriors(self, text: str) -> dict:
         """Language to probability; empty for a text without letters."""
         units = _unit.findall(text.lower())
-        if len(self.matrix) > 300_000:
-            self.rows.clear()
-            self.matrix.clear()
         if not units or not self.names:
             return {}
-        sums = list(map(sum, zip(*[self.matrix[self._row(unit)] for unit in units])))
-        top = max(sums)
-        weights = [math.exp(s - top) for s in sums]
-        return {n: w / sum(weights) for n, w in zip(self.names, weights)}
+        if len(self.rows) > self.MOST_ROWS:
+            self.rows.clear()
+        known = self.rows
+        places = [known[u] if u in known else self._row(u) for u in units]
+        sums = self.matrix[places].sum(axis=0)
+        weights = np.exp(sums - sums.max())
+        return dict(zip(self.names, (weights / weights.sum()).tolist()))
 
 
 def fit_languages(documents: DataFrame) -> Languages:
