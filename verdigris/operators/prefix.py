@@ -25,3 +25,14 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = df.withColumn("_near", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return near.join(offsets, [*group, bucket]).withColumn(out, F.col("_offset") + F.col("_near")).drop("_offset", "_near")
+
+
+def most_frequent(counts: DataFrame, key: str, count: str, size: int, buckets: int = 256) -> DataFrame:
+    """At most ``size`` rows: of each hash bucket of keys the most frequent, ties by key.
+
+    Unlike a global top list, which takes ``size`` rows from every partition to
+    the driver, no more than ``size`` rows ever come together.
+    """
+    w = Window.partitionBy("_bucket").orderBy(F.col(count).desc(), key)
+    ranked = counts.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).withColumn("_n", F.row_number().over(w))
+    return ranked.where(F.col("_n") <= max(1, size // buckets)).drop("_bucket", "_n")

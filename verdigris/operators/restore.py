@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import LETTERS, diacritic_ratio, fold
+from verdigris.operators.prefix import most_frequent
 from verdigris.session import map_batches, spread
 
 #: Words of the longest entry, and entries sent to the workers; the bound keeps the most frequent.
@@ -39,7 +40,8 @@ def dictionary(texts: DataFrame, column: str, entries: int = ENTRIES) -> dict[st
     runs = F.flatten(F.array(*[_runs("w", n) for n in range(1, LONGEST + 1)]))
     counted = words.select(F.explode(runs).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     best = counted.withColumn("bare", fold(F.col("form"))).groupBy("bare").agg(F.max_by("form", F.struct("n", "form")).alias("form"), F.sum("n").alias("n"))
-    rows = best.where("bare <> form AND (n > 1 OR NOT contains(bare, ' '))").orderBy(F.desc("n"), "bare").limit(entries).collect()
+    kept = best.where("bare <> form AND (n > 1 OR NOT contains(bare, ' '))")
+    rows = most_frequent(kept, "bare", "n", entries).collect()
     return {row.bare: unicodedata.normalize("NFC", row.form) for row in rows}
 
 
