@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.prefix import most_frequent
 from verdigris.session import cut, map_batches
 
 # Letters of other alphabets that are drawn like the Latin ones.
@@ -174,21 +175,20 @@ class Canonical:
 
 
 def vocabulary(texts: DataFrame, column: str, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words in normal form that hold a letter beyond ASCII, over all texts; ties in code point order.
+    """The most frequent words of each hash bucket in normal form that hold a letter beyond ASCII, over all texts.
 
-    Counted in the JVM with map-side combining. At most four times ``size``
-    words of up to 64 characters come to the driver, which keeps those in normal
-    form; the rest of the vocabulary is normalised by table to the same result.
+    Counted in the JVM with map-side combining. At most twice ``size`` words of
+    up to 64 characters come to the driver, which keeps those in normal form;
+    any other word is normalised by table to the same result.
     """
     words = (
         texts.select(F.explode(F.split(column, r"[\s\u00a0]+")).alias("word"))
         .where(F.length("word").between(1, 64))
         .groupBy("word")
-        .count()
-        .orderBy(F.desc("count"), "word")
-        .limit(4 * size)
+        .agg(F.count("*").alias("n"))
     )
-    kept = (row.word for row in words.collect() if not row.word.isascii() and _plain.fullmatch(row.word))
+    rows = sorted(most_frequent(words, "word", "n", 2 * size).collect(), key=lambda row: (-row.n, row.word))
+    kept = (row.word for row in rows if not row.word.isascii() and _plain.fullmatch(row.word))
     return [word for word, _ in zip(kept, range(size))]
 
 
