@@ -192,3 +192,28 @@ def test_rules(spark):
     assert one(spark, rules.labels(F.col("s"), table), s="Tai nạn") == ["a", "b"] and one(spark, rules.first_match(F.col("s"), table, "z"), s=None) == "z"
     assert one(spark, rules.remainder(F.col("s"), ["cam on", "chao ban"]), s="Chào bạn, cảm ơn nhé!") == "nhe"
     assert one(spark, rules.numbers_kept(F.col("a"), F.col("b")), a="12 ngày, 5 giờ", b="5 và 12") and not one(spark, rules.numbers_kept(F.col("a"), F.col("b")), a="13", b="12")
+
+
+def test_blocks_give_exact_sums(spark):
+    import random
+
+    rng = random.Random(9)
+    terms = [(q, f"t{i}", rng.randint(1, 3)) for q in range(20) for i in rng.sample(range(40), 8)]
+    parts = [(k, f"t{i}", rng.randint(1, 9)) for k in range(300) for i in rng.sample(range(40), 6)]
+    got = {}
+    for r in retrieve.sparse_top_k(spark.createDataFrame(terms, "query int, term string, weight int"), spark.createDataFrame(parts, "key int, term string, part int"), 5).collect():
+        got.setdefault(r.query, []).append((r.rank, r.key, r.total))
+    for query in range(20):
+        totals = {}
+        for k, t1, p in parts:
+            for q, t2, w in terms:
+                if q == query and t1 == t2:
+                    totals[k] = totals.get(k, 0) + w * p
+        want = sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(k, t) for _, k, t in sorted(got[query])] == want
+
+
+def test_most_frequent_is_bounded(spark):
+    df = spark.range(5000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"), (F.col("id") % 100).alias("n"))
+    kept = prefix.most_frequent(df, "w", "n", 512, buckets=64)
+    assert 64 <= kept.count() <= 512 and kept.agg(F.min("n")).first()[0] > 50
