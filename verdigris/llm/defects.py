@@ -162,10 +162,12 @@ def _letters(text: str) -> str:
 
 def copies(question: str, answer: str) -> bool:
     """Whether nothing but the question, labels and greetings is in the answer."""
-    asked = _letters(question)
-    if not asked:
+    body, question = body_of(answer), body_of(question)
+    # What only gives the question back begins as it does, or with a label.
+    head, start = _letters(body[:80])[:12], _letters(question[:80])[:12]
+    if not start or head != start and not _label_head.match(head):
         return False
-    said = _letters(body_of(answer))
+    asked, said = _letters(question), _letters(body)
     if asked not in said:
         return False
     rest = said.replace(asked, "")
@@ -177,6 +179,8 @@ _letters_of_labels = "|".join(
     for w in ("câu hỏi", "bạn hỏi", "hỏi", "trả lời", "câu trả lời", "cau hoi", "ban hoi", "tra loi", "question", "answer", "chào bạn", "đáp")
 )
 
+_label_head = regex.compile(rf"(?:{_letters_of_labels})")
+
 # ------------------------------------------------------------------ refusals, on text without accents
 _refuses = regex.compile(
     r"\b(?:khong the(?! tu choi)|khong duoc phep|chua the|khong co kha nang|khong co tham quyen|tu choi|khong|chua)\b(?:(?!\bnhung\b|\bsong\b|\btuy nhien\b).){0,40}?"
@@ -196,12 +200,9 @@ _sentences = regex.compile(r"[^.!?。！？\n]+")
 
 def refuses(answer: str) -> bool:
     """Every sentence declines, excuses itself or sends elsewhere, and one at least declines."""
-    plain = bare(lookalike.by_table(answer)).replace("’", "'")
-    if not _refuses.search(plain):
-        return False
     declined = False
-    for m in _sentences.finditer(bare(lookalike.by_table(body_of(_tail.sub("", answer)))).replace("’", "'")):
-        sentence = m[0].strip(" \t*_-–:,;\"'“”()")
+    for m in _sentences.finditer(body_of(_tail.sub("", answer))):
+        sentence = bare(lookalike.by_table(m[0])).replace("’", "'").strip(" \t*_-–:,;\"'“”()")
         if not any(c.isalnum() for c in sentence):
             continue
         if _refuses.search(sentence) and not _substance.search(sentence):
@@ -229,9 +230,12 @@ def ending(text: str) -> str:
     return _number.sub("0", "^" + text[start:].strip(" \t" + _close))[-ENDING:]
 
 
+_breaks = regex.compile(r"[.!?。！？]\s|\n")
+
+
 def open_bracket(text: str) -> bool:
     """Whether the last sentence opens a bracket or quote that it doesn't close."""
-    last = regex.split(r"[.!?。！？]\s|\n", text)[-1]
+    last = _breaks.split(text[-2000:])[-1]
     return any(last.count(a) > last.count(b) for a, b in ("()", "[]", "“”", "«»", "「」")) or text.count("```") % 2 == 1
 
 
@@ -275,7 +279,7 @@ class _Judge:
         inner = endings(said)
         if question and self.other(question, said):
             return "OTHER_LANGUAGE", None, inner
-        if _dangling.search(said) or open_bracket(said.rstrip()):
+        if _dangling.search(said if len(said) < 80 else "x" + said[-80:].rstrip()) or open_bracket(said.rstrip()):
             return "TRUNCATED", None, inner
         if _ended.search(said):
             return None, None, inner
