@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import tokens
-from verdigris.session import cut, spread
+from verdigris.session import spread, written
 
 K1, B = 1.5, 0.75
 
@@ -26,7 +26,11 @@ class Index:
     """Postings written once; statistics and rankings read them."""
 
     def __init__(self, chunks: DataFrame, key: str, text: str):
-        self.postings = cut(postings(chunks, key, text))
+        self.postings = written(postings(chunks, key, text))
+
+    def n_keys(self) -> Column:
+        """About how many chunks have postings."""
+        return self.postings.agg(F.approx_count_distinct("key")).scalar()
 
     def statistics(self) -> DataFrame:
         """One row: chunks with tokens (n) and their mean length (avgdl)."""

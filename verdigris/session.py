@@ -8,8 +8,11 @@ a table arrives as a single small file.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +38,35 @@ def session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="verdigris-")
+        atexit.register(shutil.rmtree, folder, True)
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Break the lineage with ``checkpoint()``.
+    """Break the lineage with ``checkpoint()`` in the shared folder."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is
-    set only where that is unset, as in tests.
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a parquet table in the shared folder: for large intermediates, which encode far smaller than rows.
+
+    Like a checkpoint it survives lost executors; columns that a later step
+    doesn't need aren't read. The table stays until the folder is cleared.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(df.sparkSession)}/verdigris-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Steps of a plan whose output is partitioned by its own shuffle; asking for the number would run it.
