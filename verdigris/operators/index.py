@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import tokens
-from verdigris.session import spread, written
+from verdigris.session import map_batches, spread, written
 
 K1, B = 1.5, 0.75
 
 
+class _Count:
+    """Each row's words counted where they are, since a row never shares a chunk with another."""
+
+    def __call__(self, batch):
+        out: dict = {"key": [], "dl": [], "term": [], "tf": []}
+        for key, words in zip(batch["key"], batch["words"]):
+            counted = Counter(words)
+            out["key"] += [key] * len(counted)
+            out["dl"] += [len(words)] * len(counted)
+            out["term"] += counted.keys()
+            out["tf"] += counted.values()
+        return out
+
+
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl): one row per chunk and term. Two aggregations on the same key, one shuffle.
+    """(key, dl, term, tf): one row per chunk and term, made without a shuffle; keys are unique.
 
-    ``dl`` is carried from the token array, so no second pass counts lengths.
-    Chunks without tokens have no postings.
+    Tokens come from the JVM; only counting them is Python's. Chunks without
+    tokens have no postings.
     """
-    words = spread(chunks.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", tokens(F.col("text")).alias("words"))
-    terms = words.select("key", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return terms.groupBy("key", "dl", "term").agg(F.count("*").alias("tf"))
+    words = chunks.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
+    kind = chunks.schema[key].dataType.simpleString()
+    return map_batches(words, _Count(), f"key {kind}, dl int, term string, tf bigint")
 
 
 class Index:
