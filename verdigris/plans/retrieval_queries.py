@@ -163,13 +163,9 @@ def parent_clauses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Stored questions nearest to each stated one by shared tokens, with the margin to the next."""
-    stored = table(spark, d, "phase5b_eval_dataset").select(F.col("row_id").alias("stored"), "question")
-    ranked = retrieve.overlap(questions(spark, d), index.Index(stored, "stored", "question"), 25).where("key <> query")
-    pairs = ranked.join(stored.select(F.col("stored").alias("key"), F.col("question").alias("other")), "key").join(questions(spark, d), "query")
-    a, b = t.search_key(F.col("text")), t.search_key(F.col("other"))
-    ratio = F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 6)
-    scored = retrieve.top_k(pairs.select("query", "key", ratio.alias("score")), 2)
+    """The stored question nearest to each stated one by edit ratio, with the margin to the next; every stored question is compared."""
+    stored = table(spark, d, "phase5b_eval_dataset").select(F.col("row_id").alias("key"), t.search_key(F.col("question")).alias("text"))
+    scored = retrieve.nearest_texts(questions(spark, d).select("query", t.search_key(F.col("text")).alias("text")), stored)
     best = scored.groupBy("query").agg(
         F.max(F.when(F.col("rank") == 1, F.col("key"))).alias("best"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("ratio"),
