@@ -38,3 +38,17 @@ def test_nearest_texts_against_brute_force(spark):
         scored = sorted((-round(1 - distance(text, other) / max(len(text), len(other), 1), 6), key) for key, other in texts.items() if key != query)
         expected |= {(query, key, rank + 1, -score) for rank, (score, key) in enumerate(scored[:2])}
     assert {(r.query, r.key, r.rank, r.score) for r in got.collect()} == expected
+
+
+def test_hybrid_takes_four_times_k_candidates(spark, monkeypatch):
+    """The chunks at ranks 21 to 40 of both arms beat the first of either."""
+    from verdigris.plans import retrieval_queries as r
+
+    texts = ["hiem " * 10] * 20 + ["chung thuong phoi"] * 20 + ["hiem chung"] * 20 + [w for w in ("chung", "thuong", "phoi") for _ in range(200)]
+    tables = {
+        "scored_evidence": spark.createDataFrame(list(enumerate(texts)), "evidence_row_id bigint, content string"),
+        "phase5b_eval_dataset": spark.createDataFrame([(50, "hiem chung thuong phoi")], "row_id bigint, question string"),
+    }
+    monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
+    for got, key in ((r.rrf_hybrid(spark, ""), "evidence_row_id"), (r.hybrid_of_all(spark, ""), "key")):
+        assert got.orderBy("rank").first()[key] == 40
