@@ -52,3 +52,17 @@ def test_hybrid_takes_four_times_k_candidates(spark, monkeypatch):
     monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
     for got, key in ((r.rrf_hybrid(spark, ""), "evidence_row_id"), (r.hybrid_of_all(spark, ""), "key")):
         assert got.orderBy("rank").first()[key] == 40
+
+
+def test_exact_reference_lifts_from_below_the_first_ten(spark, monkeypatch):
+    from verdigris.plans import retrieval_queries as r
+
+    rows = [(i, "phép năm phép năm", "1", "1/2020/NĐ-CP") for i in range(15)]
+    rows += [(20, "phép " + "x y z " * 5, "7", "9/2020/NĐ-CP"), (21, "phép " + "x y z " * 9, " 7", "145/2020/NĐ-CP")]
+    tables = {
+        "scored_evidence": spark.createDataFrame(rows, "evidence_row_id bigint, content string, article_number string, document_no string"),
+        "phase5b_eval_dataset": spark.createDataFrame([(50, "Phép năm theo Điều 7 của 145/2020/nđ-cp từ 04/05/2036?")], "row_id bigint, question string"),
+    }
+    monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
+    got = r.exact_reference(spark, "").orderBy("new_rank").collect()
+    assert [(x.evidence_row_id, x.rank) for x in got] == [(21, 17), (20, 16), *((i, i + 1) for i in range(8))]

@@ -14,6 +14,8 @@ from verdigris.operators import index, metrics, retrieve
 from verdigris.sources.tables import table
 
 META = ["article_number", "source_role", "rule_type"]
+# A document's number in a question, its year or its kind given; dates aren't numbers.
+DOCUMENT = r"(?iu)(?<![\d/])(\d{1,4}/(?:\d{4}(?:/[0-9A-ZĐ]+(?:-[A-ZĐ]+)*)?|[A-ZĐ]+(?:-[A-ZĐ]+)*))"
 HISTORICAL = ["trước đây", "hết hiệu lực", "cũ", "formerly"]
 
 
@@ -92,12 +94,15 @@ def demoted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the article a question names come first, in their old order."""
-    named = questions(spark, d).select("query", F.regexp_extract(F.lower("text"), r"điều\s+(\d+)", 1).alias("named"))
-    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), F.trim("article_number").alias("article"))
-    ranked = _bm25(spark, d).join(facts, "key").join(named, "query")
-    bucket = F.when((F.col("named") != "") & (F.col("article") == F.col("named")), 0).otherwise(1)
-    return retrieve.reorder(ranked, bucket).select("query", F.col("key").alias("evidence_row_id"), "rank", "new_rank")
+    """Of the BM25 top 50, chunks of the article and document a question names come first, then of the article, then the rest, in their old order; 10 are kept."""
+    article, document = F.regexp_extract(F.lower("text"), r"điều\s+(\d+)", 1), F.lower(F.regexp_extract("text", DOCUMENT, 1))
+    named = questions(spark, d).select("query", article.alias("named"), document.alias("named_document"))
+    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), F.trim("article_number").alias("article"), F.lower("document_no").alias("document"))
+    ranked = _bm25(spark, d, 50).join(facts, "key").join(named, "query")
+    of_article = (F.col("named") != "") & (F.col("article") == F.col("named"))
+    of_document = (F.col("named_document") != "") & F.col("document").startswith(F.col("named_document"))
+    bucket = F.when(of_article & of_document, 0).when(of_article, 1).otherwise(2)
+    return retrieve.reorder(ranked, bucket, 10).select("query", F.col("key").alias("evidence_row_id"), "rank", "new_rank")
 
 
 def first_seen_union(spark: SparkSession, d: str) -> DataFrame:
