@@ -66,3 +66,15 @@ def test_exact_reference_lifts_from_below_the_first_ten(spark, monkeypatch):
     monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
     got = r.exact_reference(spark, "").orderBy("new_rank").collect()
     assert [(x.evidence_row_id, x.rank) for x in got] == [(21, 17), (20, 16), *((i, i + 1) for i in range(8))]
+
+
+def test_neighbours_of_every_registry_document(spark, monkeypatch):
+    from verdigris.plans import graph_queries as q
+
+    tables = {
+        "scored_evidence": spark.createDataFrame([("145/2020/NĐ-CP", "theo 12/2019/NĐ-CP")], "document_no string, content string"),
+        "legal_documents": spark.createDataFrame([("145/2020/NĐ-CP",), ("12/2019/NĐ-CP",), ("7/2019/NĐ-CP",), (None,)], "document_no string"),
+    }
+    monkeypatch.setattr(q, "table", lambda _, __, name, *___: tables[name])
+    got = {(r.seed, r.node) for r in q.g_neighbours(spark, "").collect()}
+    assert got == {("145/2020/NĐ-CP", "12/2019/NĐ-CP"), ("12/2019/NĐ-CP", "145/2020/NĐ-CP")}

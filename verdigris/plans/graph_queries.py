@@ -34,8 +34,8 @@ def g_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours, both ways, of the documents of the registry whose id ends in a 7."""
-    seeds = table(spark, d, "legal_documents").where(F.col("document_no").like("%7/%")).select(F.col("document_no").alias("seed"))
+    """Neighbours, both ways, of every document of the registry."""
+    seeds = table(spark, d, "legal_documents").select(F.col("document_no").alias("seed"))
     return g.step(seeds, _edges(spark, d), "both")
 
 
