@@ -78,3 +78,12 @@ def test_neighbours_of_every_registry_document(spark, monkeypatch):
     monkeypatch.setattr(q, "table", lambda _, __, name, *___: tables[name])
     got = {(r.seed, r.node) for r in q.g_neighbours(spark, "").collect()}
     assert got == {("145/2020/NĐ-CP", "12/2019/NĐ-CP"), ("12/2019/NĐ-CP", "145/2020/NĐ-CP")}
+
+
+def test_unwraps_documents_of_every_genre(spark, monkeypatch):
+    from verdigris.plans import structure_queries as q
+
+    rows = [(1, "người lao\nđộng", "ocr"), (2, "người lao\nđộng", None), (3, "người lao\nđộng", "news")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, genre string")
+    monkeypatch.setattr(q, "table", lambda *_: documents)
+    assert {r.doc_id for r in q.st_unwrapped(spark, "").collect()} == {1, 2, 3}

@@ -37,7 +37,7 @@ def st_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def st_unwrapped(spark: SparkSession, d: str) -> DataFrame:
-    return s.unwrapped(table(spark, d, "documents", "doc_id", "text", "genre").where("genre = 'ocr'"), "doc_id", "text")
+    return s.unwrapped(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def st_quality(spark: SparkSession, d: str) -> DataFrame:
