@@ -14,6 +14,7 @@ rows get equal results; every row counts on its own.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -251,6 +252,12 @@ def endings(text: str) -> list[str]:
     return found
 
 
+def _hash(answer: str) -> int:
+    """The same for copies of an answer, whatever their case, accents, blanks and marks."""
+    folded = _silent.sub("", bare(lookalike.by_table(answer)))
+    return int.from_bytes(hashlib.blake2b(folded.encode(), digest_size=8).digest(), "big", signed=True)
+
+
 class _Judge:
     """What a pair shows on its own, and the endings it adds to the counts."""
 
@@ -286,10 +293,11 @@ class _Judge:
         return None, ending(said), inner
 
     def __call__(self, batch):
-        out: dict = {"pair_table": batch["pair_table"], "row_id": batch["row_id"], "defect": [], "last": [], "inner": []}
+        out: dict = {"pair_table": batch["pair_table"], "row_id": batch["row_id"], "defect": [], "answer_hash": [], "last": [], "inner": []}
         for question, answer in zip(batch["question"], batch["answer"]):
             defect, last, inner = self.judge(question, answer)
             out["defect"].append(defect)
+            out["answer_hash"].append(None if answer is None else _hash(answer))
             out["last"].append(last)
             out["inner"].append(inner)
         return out
@@ -301,14 +309,15 @@ def judged(pairs: DataFrame, languages: Languages) -> DataFrame:
     One Python pass gives what a pair shows on its own; it is written once,
     without the texts. Endings are counted over all answers with map-side
     combining, and only answers that stop without a full stop look theirs up.
-    An answer is TRUNCATED there if its ending ends no sentence or line of
-    another answer and is no closing phrase that many answers share.
+    Copies of an answer count once. An answer is TRUNCATED there unless its ending
+    is a closing phrase that many different answers share, or ends a sentence or
+    line of an answer.
     """
-    schema = "pair_table string, row_id bigint, defect string, last string, inner array<string>"
+    schema = "pair_table string, row_id bigint, defect string, answer_hash bigint, last string, inner array<string>"
     seen = cut(map_batches(pairs, _Judge(languages), schema))
     inner = seen.select(F.explode("inner").alias("last")).groupBy("last").agg(F.count("*").alias("n"))
-    closing = seen.where("last is not null").groupBy("last").agg(F.count("*").alias("n_last"))
-    n_all = seen.agg(F.count("*")).scalar()
+    closing = seen.where("last is not null").select("answer_hash", "last").distinct().groupBy("last").agg(F.count("*").alias("n_last"))
+    n_all = seen.agg(F.count_distinct("answer_hash")).scalar()
     complete = (
         closing.join(inner, "last", "left")
         .where((F.col("n").isNotNull()) | ((F.col("n_last") > 1) & (F.col("n_last") >= CLOSING * n_all)))
