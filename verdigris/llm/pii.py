@@ -26,9 +26,10 @@ import regex
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdigris.llm import lookalike
-from verdigris.session import map_batches
+from verdigris.session import cut, map_batches
 
 TYPES = ("EMAIL", "ADDRESS", "NATIONAL_ID", "PHONE", "PERSON")
 
@@ -321,6 +322,8 @@ class Surrogates:
     ).split()
     FIRST = ("Alder", "Bryn", "Corin", "Dara", "Elwin", "Fenna", "Garrick", "Hanne", "Ilse", "Joss", "Kester", "Linnet")
     LAST = ("Ashdown", "Birkett", "Calloway", "Dunmore", "Ellery", "Farrow", "Gladwin", "Harcourt", "Ingram", "Kestrel", "Lockyer")
+    # Surnames are a start and two ends.
+    ENDS = ("ash", "bourne", "combe", "dale", "ert", "fold", "gate", "holm", "ing", "ley", "mere", "ney", "ock", "ridge", "stead", "wick")
     STREETS = ("Bạch Dương", "Cây Thị", "Đồng Hồ", "Gác Chuông", "Hồ Sen", "Lá Phong", "Mái Ngói", "Nắng Mai", "Sóng Xanh", "Tre Ngà")
 
     def __init__(self, key: str, salt: dict | None = None):
@@ -347,7 +350,10 @@ class Surrogates:
 
     def digits(self, kind: str, text: str) -> str:
         """A keyed permutation of the digits' places and values within their length: a Feistel walk, so no two meet."""
-        plain = "".join(c for c in text if c.isdigit())
+        raw = plain = "".join(c for c in text if c.isdigit())
+        if kind == "PHONE":  # the national number, so that both ways to write it stay one
+            plain = self.entity(kind, text)
+        lead = raw[: len(raw) - len(plain) + 1] if len(plain) < len(raw) else ""
         keep = 2 if kind == "PHONE" and plain.startswith("00") else 1
         head, tail = plain[:keep], plain[keep:]
         half = len(tail) // 2
@@ -357,11 +363,14 @@ class Surrogates:
                 a = str((int(a) + self.draw(f"{kind}{turn}", b, 10 ** len(a))) % 10 ** len(a)).zfill(len(a))
             elif b:
                 b = str((int(b) + self.draw(f"{kind}{turn}", a, 10 ** len(b))) % 10 ** len(b)).zfill(len(b))
-        fresh = iter(head + a + b)
+        made = head + a + b
+        fresh = iter(lead + made[1:] if lead else made)
         return "".join(next(fresh) if c.isdigit() else c for c in text)
 
     def make(self, kind: str, text: str) -> str:
         entity = self.entity(kind, text)
+        # Each redraw of a name takes a part more, so that there are names enough for any number of persons.
+        redraws = int(self.salt.get((kind, entity), 0))
         if kind in ("PHONE", "NATIONAL_ID"):
             return self.digits(kind, text)
         if kind == "EMAIL":
@@ -374,19 +383,19 @@ class Surrogates:
             second = bare(text.split()[1]) if len(text.split()) > 1 else ""
             female = second in {"thi", "my", "thu", "ngoc", "dieu", "kim", "bich", "hong", "cam", "tuyet", "thuy"}
             middle = self.FEMALE if female else self.MALE
-            n = self.draw(kind, entity, 10**15)
+            n = self.draw(kind, entity, 2**120)
             words = []
-            for part in (FAMILY, middle, self.GIVEN, self.GIVEN):
+            for part in (FAMILY, middle, self.GIVEN, self.GIVEN, *[self.GIVEN] * redraws):
                 n, place = divmod(n, len(part))
                 words.append(part[place])
             made = " ".join(words)
         else:
-            n = self.draw(kind, entity, 10**15)
+            n = self.draw(kind, entity, 2**120)
             words = []
-            for part in (self.FIRST, self.LAST, self.LAST):
+            for part in (self.FIRST, *[self.LAST, self.ENDS, self.ENDS] * (2 + redraws)):
                 n, place = divmod(n, len(part))
                 words.append(part[place])
-            made = f"{words[0]} {words[1]}-{words[2]}"
+            made = f"{words[0]} {'-'.join(''.join(words[i : i + 3]) for i in range(1, len(words), 3))}"
         if text.isascii():
             made = "".join(c for c in unicodedata.normalize("NFD", made) if not unicodedata.combining(c))
             made = made.replace("đ", "d").replace("Đ", "D")
@@ -421,7 +430,9 @@ class _Replace:
 
     def __call__(self, batch):
         marked, natural = [], []
-        for text in batch["text"]:
+        given = self.surrogates.salt
+        for text, salts in zip(batch["text"], batch.get("salts") or [None] * len(batch["text"])):
+            self.surrogates.salt = {(x["pii_type"], x["entity"]): x["salt"] for x in salts} if salts else given
             if text is None:
                 marked.append(None)
                 natural.append(None)
@@ -475,6 +486,57 @@ def collisions(found: DataFrame, key: str = "verdigris", salt: dict | None = Non
     return drawn.distinct().groupBy("pii_type", "made").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
 
 
+class _Redraw:
+    """Entities of items, and the surrogates that they draw with their salts."""
+
+    def __init__(self, key):
+        self.surrogates = Surrogates(key)
+
+    def __call__(self, batch):
+        entities, made = [], []
+        for kind, item, salt in zip(batch["pii_type"], batch["item"], batch["salt"]):
+            entities.append(self.surrogates.entity(kind, item))
+            self.surrogates.salt = {(kind, entities[-1]): salt} if salt else {}
+            made.append(bare(self.surrogates.make(kind, item)))
+        return {"pii_type": batch["pii_type"], "item": batch["item"], "salt": batch["salt"], "entity": entities, "made": made}
+
+
+def redrawn(found: DataFrame, key: str = "verdigris") -> DataFrame:
+    """(pii_type, entity, salt): salts for entities whose surrogate fell together with another's.
+
+    All but the first entity of a surrogate are drawn anew, and all are checked
+    again, until no collision is left. Digits are permuted and can't collide.
+    """
+    schema = "pii_type string, item string, salt string, entity string, made string"
+    items = found.where(F.col("pii_type").isin("PERSON", "ADDRESS", "EMAIL")).select("pii_type", "item").distinct()
+    drawn = map_batches(items.withColumn("salt", F.lit(None).cast("string")), _Redraw(key), schema)
+    drawn = drawn.groupBy("pii_type", "entity").agg(F.min_by(F.struct("item", "salt", "made"), "item").alias("x")).select("pii_type", "entity", "x.*")
+    order = Window.partitionBy("pii_type", "made").orderBy(F.col("salt").cast("int").asc_nulls_first(), "entity")
+    while True:
+        drawn = cut(drawn.withColumn("n", F.row_number().over(order)))
+        if drawn.where("n > 1").isEmpty():
+            return drawn.where("salt is not null").select("pii_type", "entity", "salt")
+        more = F.when(F.col("n") > 1, (F.coalesce(F.col("salt").cast("int"), F.lit(0)) + 1).cast("string")).otherwise(F.col("salt"))
+        drawn = map_batches(drawn.select("pii_type", "item", more.alias("salt")), _Redraw(key), schema)
+
+
+class _Entity:
+    def __init__(self, key):
+        self.surrogates = Surrogates(key)
+
+    def __call__(self, batch):
+        entities = [self.surrogates.entity(k, t) for k, t in zip(batch["pii_type"], batch["item"])]
+        return {"field": batch["field"], "row_id": batch["row_id"], "pii_type": batch["pii_type"], "entity": entities}
+
+
+def replaced_distinct(texts: DataFrame, key: str = "verdigris") -> DataFrame:
+    """``replaced`` with the salts of ``redrawn``, joined to the texts that need them: different entities keep different surrogates."""
+    found = items(texts)
+    held = map_batches(found.select("field", "row_id", "pii_type", "item"), _Entity(key), "field string, row_id bigint, pii_type string, entity string")
+    salts = held.join(redrawn(found, key), ["pii_type", "entity"]).groupBy("field", "row_id").agg(F.collect_set(F.struct("pii_type", "entity", "salt")).alias("salts"))
+    return replaced(texts.join(salts, ["field", "row_id"], "left"), key)
+
+
 #: Entities that ``salted`` may send to the workers.
 MOST_SALTS = 100_000
 
@@ -485,12 +547,7 @@ def salted(found: DataFrame, key: str = "verdigris") -> dict:
     All but the first entity of a surrogate, in order, get a salt. Collisions are
     rare draws, not data, but their number is checked before they come to the driver.
     """
-    from pyspark.sql.window import Window
-
-    drawn = map_batches(found.select("pii_type", "item"), _Draw(key, None), "pii_type string, entity string, made string").distinct()
-    order = Window.partitionBy("pii_type", "made").orderBy("entity")
-    again = drawn.withColumn("n", F.row_number().over(order)).where("n > 1").select("pii_type", "entity", "n")
-    rows = again.limit(MOST_SALTS + 1).collect()
+    rows = redrawn(found, key).limit(MOST_SALTS + 1).collect()
     if len(rows) > MOST_SALTS:
         raise ValueError("more collisions than salts may be sent; use longer surrogates")
-    return {(row.pii_type, row.entity): str(row.n) for row in rows}
+    return {(row.pii_type, row.entity): row.salt for row in rows}

@@ -32,8 +32,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_replaced(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text with typed placeholders, and with keyed surrogates."""
-    return pii.replaced(texts(spark, folder))
+    """Every text with typed placeholders, and with keyed surrogates that differ where the entities do."""
+    return pii.replaced_distinct(texts(spark, folder))
 
 
 def p3_collisions(spark: SparkSession, folder: str) -> DataFrame:
