@@ -1,20 +1,24 @@
 """Sentence starts in texts of any language and script (problem 8).
 
 Boundary rules are compiled into a finite transducer. A scanner turns a text
-into events, each named by what stands close around it: a full stop that can
-end a sentence, an opening or closing mark, a closing mark after a full stop, a
-line break that parts, a blank that parts (Thai). The transducer's state is
-``between`` two sentences or the depth of quotation marks and brackets; its
-table says per state and event the next state and whether a sentence ends.
-
-Long texts are cut into chunks that overlap by the scanner's context. Each chunk
-yields, for every state it may be entered in, the state it is left in and its
-starts: a function of the state. The functions of a text are composed by a
-parallel prefix scan, which gives each chunk its true entry, and with it its
-starts. Short texts are one chunk entered between sentences.
+into symbols, each named by what stands close around it: a full stop that can
+end a sentence, one that ends it unless it numbers a line, an opening or closing
+mark, a closing mark after a full stop, a blank that parts (Thai), and a line
+break with what the lines before and after it look like. The transducer's state
+is ``between`` two sentences or the depth of open marks, together with what kind
+of line is being read and whether it began anew; its table says per symbol and
+state the next state and whether a sentence ends.
+
+Every text is cut into chunks of ``CHUNK`` characters. Each chunk yields, for
+every state it may be entered in, the state it is left in and its starts: a
+function of the state. The functions of a text are composed by a parallel prefix
+scan, which gives each chunk its true entry, and with it its starts. Whatever
+the size of the chunks, the starts are the same.
 
 Defined results: null, empty and blank texts have no sentence; a text without
-any mark is one sentence; places count code points from 0.
+any mark is one sentence; places count code points from 0. More than ``LOOK``
+blanks or full stops in a row part like an empty line; ``DEPTHS`` marks open at
+once are told apart, further ones count with the last.
 """
 
 from __future__ import annotations
@@ -27,42 +31,64 @@ from pyspark.sql import functions as F
 
 from verdigris.session import map_batches
 
-#: Texts longer than this are cut into chunks of this size; the scanner looks this far around an event.
-CHUNK, CONTEXT = 65_536, 600
-#: How far a closing mark may stand from its opening one.
-SPAN = 400
+#: Characters of a chunk, and how far the scanner looks around a symbol.
+CHUNK, LOOK = 2_000, 200
+#: Texts longer than this many chunks are spread over tasks, as pieces of so many chunks with what the scanner may
+#: look at around them.
+SPREAD, AROUND = 512, 600
 
 # ------------------------------------------------------------------ the transducer
-BETWEEN, DEPTHS = 0, 4  # states: 0 is between sentences, 1 + d is inside at depth d
-STATES = 1 + DEPTHS
-END, OPEN, CLOSE, CLOSE_END, BREAK, BLANK = range(6)
+BETWEEN, DEPTHS = 0, 16  # within a line: 0 is between sentences, 1 + d is inside at depth d
+WIDTH = 1 + DEPTHS
+LINES = 6  # kind of line (0 none, 1 item, 2 heading), plus 3 for one that goes on from the line before
+STATES = LINES * WIDTH
+END, NUMBER_END, OPEN, CLOSE, CLOSE_END, BLANK = range(6)
 
 
-def compile_rules():
-    """(next state, whether a sentence ends) per state and event."""
-    table = [[(state, False)] * 6 for state in range(STATES)]
-    for depth in range(DEPTHS):
-        state, inner, outer = 1 + depth, 1 + min(depth + 1, DEPTHS - 1), 1 + max(depth - 1, 0)
-        table[state][OPEN] = (inner, False)
-        table[state][CLOSE] = (outer, False)
-        table[state][CLOSE_END] = (BETWEEN, True) if depth <= 1 else (outer, False)
-        table[state][BREAK] = (BETWEEN, True)
-        if depth == 0:
-            table[state][END] = table[state][BLANK] = (BETWEEN, True)
-    return table
+class _Table(dict):
+    """Per symbol three lists over the states: the next line, the next sentence state, whether a sentence ends.
 
+    A line break is a symbol (parts after none, after an item, after a heading; next line anew; its kind).
+    """
 
-TABLE = compile_rules()
+    def __missing__(self, symbol):
+        lines, inside, ends = [], [], []
+        for line in range(LINES):
+            kind, stale = line % 3, line >= 3
+            for state in range(WIDTH):
+                depth, to, ended, next_line = state - 1, state, False, line
+                if isinstance(symbol, tuple):
+                    ended = symbol[0 if stale else kind]
+                    next_line = symbol[4] + (0 if symbol[3] or kind else 3)
+                elif symbol == OPEN:
+                    to = min(state + 1, WIDTH - 1)
+                elif symbol == CLOSE:
+                    to = max(state - 1, 1)
+                elif symbol == CLOSE_END:
+                    ended, to = depth <= 1, max(state - 1, 1)
+                elif depth == 0:
+                    ended = symbol != NUMBER_END or stale
+                if state == BETWEEN:
+                    to, ended = BETWEEN, False
+                lines.append(next_line)
+                inside.append(BETWEEN if ended else to)
+                ends.append(ended)
+        self[symbol] = (lines, inside, ends, np.array(lines) * WIDTH, np.array(inside), np.array(ends))
+        return self[symbol]
+
+
+TABLE = _Table()
 
 # ------------------------------------------------------------------ the scanner
 _stop = "!?。！？｡។៕‼⁇⁈⁉؟।"
 _closers = "\"'”’»)\\]」』）】〉》›"
 _event = regex.compile(
-    rf"(?P<stop>[.．…{_stop}]+)|(?P<line>[ \t\r\f ]*\n\s*)|(?P<open>[“‘«(\[「『（【〈《‹„])|(?P<close>[”’»)\]」』）】〉》›])|(?P<straight>[\"'])"
+    rf"(?P<stop>[.．…{_stop}]+)|(?P<line>(?:(?<![ \t\r\f ])[ \t\r\f ]++)?\n\s*+)|(?P<open>[“‘«(\[「『（【〈《‹„])|(?P<close>[”’»)\]」』）】〉》›])|(?P<straight>[\"'])"
     r"|(?P<thai>(?<=[\u0e00-\u0e7f][”»)\"]?)[ \u00a0]+(?=\S)|(?<=[^\s\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f]))"
 )
 _partner = {"“": "”", "‘": "’", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "‹": "›", "„": "“”"}
-_after = regex.compile(rf"[{_closers}]*")
+_after = regex.compile(rf"[{_closers}]{{0,20}}")
+_marks = "".join(dict.fromkeys("".join(_partner.values()) + "\"'"))
 _caseless = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}]")
 _spaceless = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}]")
 _before = regex.compile(r"(?:[\p{L}\p{M}\p{N}]+(?:[.][\p{L}\p{M}\p{N}]+)*)$")
@@ -93,7 +119,7 @@ _particles = regex.compile(r"(?:と|って|は|が|を|に|の|も|で|へ|や|
 
 def _next_visible(text: str, at: int):
     """The first character after ``at`` that isn't a blank, and whether blanks or breaks come before it."""
-    n, start = len(text), at
+    n, start = min(len(text), at + LOOK), at
     while at < n and text[at].isspace():
         at += 1
     return (text[at] if at < n else ""), at > start, at
@@ -101,7 +127,7 @@ def _next_visible(text: str, at: int):
 
 def _starts_sentence(text: str, at: int) -> bool:
     """Whether what stands at ``at`` can begin a sentence: a capital, a digit, a caseless letter, maybe after an opening mark."""
-    n = len(text)
+    n = min(len(text), at + LOOK)
     while at < n and (text[at] in "“‘«(\"'[「『（【*_-–—•" or text[at].isspace()):
         at += 1
     if at >= n:
@@ -110,8 +136,20 @@ def _starts_sentence(text: str, at: int) -> bool:
     return c.isupper() or c.isdigit() or _caseless.match(c) is not None
 
 
-def _stop_ends(text: str, start: int, end: int) -> bool:
-    """Whether the full stops at start..end can end a sentence."""
+def _stop_ends(text: str, start: int, end: int):
+    """The symbol of the full stops at start..end if they can end a sentence, else None."""
+    ends = _can_end(text, start, end)
+    if not ends or end - start > 1 or text[start] not in ".．":
+        return END if ends else None
+    begin = text.rfind("\n", max(0, start - LOOK), start) + 1
+    if (begin or start < LOOK) and _heading_number.match(text[begin:start]) and text[end : end + 1].isspace():
+        return NUMBER_END
+    return END
+
+
+def _can_end(text: str, start: int, end: int) -> bool:
+    if end - start > LOOK:
+        return True
     cluster = text[start:end]
     past = _after.match(text, end).end()
     c, blank, place = _next_visible(text, past)
@@ -152,9 +190,6 @@ def _stop_ends(text: str, start: int, end: int) -> bool:
         if token and token[-1].isdigit():
             return following.islower()
         return len(token) > 1 and token[-1].islower() and (following.islower() or following in " \n")
-    begin = text.rfind("\n", 0, start) + 1
-    if _heading_number.match(text[begin:start]) and _fresh(text, begin):
-        return False
     unit = token.islower() and before[: -len(token)].rstrip(" ")[-1:].isdigit()
     if not unit and (low in NEVER or low.rpartition(".")[2] in NEVER or low in BEFORE_NUMBER and c.isdigit()):
         return False
@@ -171,78 +206,107 @@ def _stop_ends(text: str, start: int, end: int) -> bool:
     return _starts_sentence(text, place)
 
 
-def _fresh(text: str, begin: int) -> bool:
-    """Whether the line at ``begin`` starts anew instead of going on from the line before."""
-    above = text[max(0, begin - CONTEXT) : max(0, begin - 1)].rsplit("\n", 1)[-1].strip()
-    if not above:
-        return True
-    tail = above.rstrip("\"'”’»)]」』）】*_")[-1:]
-    return tail in ".:;…" or tail in _stop or _heading.match(above) is not None or _item.match(above) is not None or len(above) < 40
+def _kind(line: str) -> int:
+    """What a line is: 1 for an item, 2 for a heading, else 0."""
+    return 1 if _item.match(line) else 2 if _heading.match(line) else 0
 
 
-def _line_parts(text: str, start: int, end: int) -> bool:
-    """Whether the line break at start..end parts sentences."""
+def _line_symbol(text: str, start: int, end: int):
+    """The line break at start..end: whether it parts after a plain line, an item and a heading; how the next line begins."""
     gap = text[start:end]
-    if gap.count("\n") > 1:
-        return True
-    begin = text.rfind("\n", 0, start) + 1
-    line = text[begin:start].strip()
+    upcoming = text[end : end + LOOK].split("\n", 1)[0]
+    kind = _kind(upcoming)
+    found = text.rfind("\n", max(0, start - LOOK), start)
+    line = text[found + 1 if found >= 0 else max(0, start - LOOK) : start].strip()
+    if gap.count("\n") > 1 or end - start > LOOK:
+        return True, True, True, True, kind
     if not line or end >= len(text):
-        return True
-    upcoming = text[end : end + CONTEXT].split("\n", 1)[0]
+        return True, True, True, not line or len(line) < 40, kind
     tail = line.rstrip("\"'”’»)]」』）】*_")[-1:]
     closed = tail in ".:;…" or tail in _stop
-    fresh = _fresh(text, begin)
-    item = fresh and _item.match(line) is not None
-    heading = fresh and _heading.match(line) is not None
     first = upcoming.lstrip("“‘«(\"'[「『（【*_ ")[:1]
-    if _item.match(upcoming):
-        mark = upcoming.lstrip()[:1]
-        return closed or item or heading or mark in "-–—•*+·▪" or len(line) < 40
-    if _heading.match(upcoming) and (closed or heading):
-        return True
-    if heading and len(line) < 90:
-        return not first.islower()
-    if tail == ":":
-        return upcoming[:1] not in "“‘«\"'「『" and not first.islower()
-    if _spaceless.match(line[-1]) and not _caseless.match(first or " "):
-        return first.isupper()
-    if "฀" <= line[-1] <= "๿":
-        return True
-    if closed or not first.isupper():
-        return False
-    # A capital after a line without a full stop: part only what is clearly shorter than a wrapped line.
-    word = upcoming.split(" ", 1)[0]
-    return len(line) + 1 + len(word) < 45
+    anew = closed or len(line) < 40
+
+    def parts(item, heading):
+        if kind == 1:
+            return closed or item or heading or upcoming.lstrip()[:1] in "-–—•*+·▪" or len(line) < 40
+        if kind == 2 and (closed or heading):
+            return True
+        if heading and len(line) < 90:
+            return not first.islower()
+        if tail == ":":
+            return upcoming[:1] not in "“‘«\"'「『" and not first.islower()
+        if _spaceless.match(line[-1]) and not _caseless.match(first or " "):
+            return first.isupper()
+        if "฀" <= line[-1] <= "๿":
+            return True
+        if closed or not first.isupper():
+            return False
+        # A capital after a line without a full stop: part only what is clearly shorter than a wrapped line.
+        word = upcoming.split(" ", 1)[0]
+        return len(line) + 1 + len(word) < 45
 
+    return parts(False, False), parts(True, False), parts(False, True), anew, kind
 
-def events(text: str, lo: int = 0, hi: int | None = None):
-    """(event, its place, where the sentence that it ends is over) for the events that start in lo..hi.
 
-    Returns them with the place up to which an earlier event reaches over lo.
-    """
-    hi = len(text) if hi is None else hi
+class _Ahead:
+    """Whether a closing mark follows before the paragraph ends; asked from left to right, so each mark is sought once."""
+
+    def __init__(self, text: str, tail: str = ""):
+        self.text, self.tail, self.next = text, tail, {}
+
+    def _find(self, what: str, at: int) -> int:
+        place = self.next.get(what, -1)
+        if place < at:
+            place = self.text.find(what, at)
+            self.next[what] = place = len(self.text) if place < 0 else place
+        return place
+
+    def __call__(self, marks: str, at: int) -> bool:
+        stop = self._find("\n\n", at)
+        if any(self._find(mark, at) < stop for mark in marks):
+            return True
+        return stop == len(self.text) and any(mark in self.tail for mark in marks)
+
+
+def tails(text: str, ends: list[int]) -> list[str]:
+    """Per ascending place the marks that follow it before the paragraph ends."""
+    ahead = _Ahead(text)
+    out = []
+    for end in ends:
+        stop = ahead._find("\n\n", max(0, end - 1))
+        out.append("".join(m for m in _marks if ahead._find(m, end) < stop))
+    return out
+
+
+#: How far before a chunk a full stop or closing mark may begin that reaches into it.
+BACK = 64
+
+
+def symbols(text: str, lo: int, hi: int, ahead: _Ahead):
+    """((symbol, its place, where the sentence that it ends is over) for those that start in lo..hi, and the place up
+    to which an earlier one reaches over lo)."""
     found, reach = [], lo
-    for m in _event.finditer(text):
+    for m in _event.finditer(text, max(0, lo - BACK)):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if start >= hi:
             break
         event, over = None, end
+        if kind == "line":
+            if start >= lo:
+                found.append((_line_symbol(text, start, end), start, start))
+            continue
         if kind == "stop":
-            if _stop_ends(text, start, end):
-                event, over = END, end
+            event = _stop_ends(text, start, end)
+            if event is not None:
                 closing = _after.match(text, end).end()
                 # Closing marks belong to the sentence they close; a straight one only before a blank.
                 while over < closing and (text[over] not in "\"'" or closing >= len(text) or text[closing].isspace() or _caseless.match(text[closing])):
                     over += 1
-        elif kind == "line":
-            if _line_parts(text, start, end):
-                event, over = BREAK, start
         elif kind == "thai":
             event, over = BLANK, start
         elif kind == "open":
-            stretch = text[end : end + SPAN].split("\n\n", 1)[0]
-            if any(p in stretch for p in _partner[m[0]]):
+            if start >= lo and ahead(_partner[m[0]], end):
                 event = OPEN
         else:
             closing = kind == "close"
@@ -252,8 +316,7 @@ def events(text: str, lo: int = 0, hi: int | None = None):
                 before, after = text[start - 1 : start], text[end : end + 1]
                 opens = (not before or before.isspace() or before in "([“«:") and after and not after.isspace()
                 if opens:
-                    stretch = text[end : end + SPAN].split("\n\n", 1)[0]
-                    if m[0] in stretch:
+                    if start >= lo and ahead(m[0], end):
                         event = OPEN
                 elif m[0] == '"' or before in ".!?":
                     closing = True
@@ -282,62 +345,116 @@ def events(text: str, lo: int = 0, hi: int | None = None):
     return found, reach
 
 
-def chunk_function(text: str, lo: int, hi: int, entries=range(STATES)):
-    """Per entry state the exit state and the starts within lo..hi."""
-    found, reach = events(text, lo, hi)
+def summary(text: str, lo: int, hi: int, entries, ahead: _Ahead):
+    """A chunk as a function: (exit states, starts of some entries as (place, which entries), starts of every entry)."""
+    found, reach = symbols(text, lo, hi, ahead)
 
     def visible(at):
         while at < hi and text[at].isspace():
             at += 1
         return at
 
-    exits, starts = [], []
-    for entry in entries:
-        state, mine = entry, []
-        opened = lo
-        if state == BETWEEN:
-            opened = visible(max(lo, reach))
-            if opened < hi:
-                mine.append(opened)
-                state = 1
-        for event, place, over in found:
-            if state == BETWEEN or place < opened and event != OPEN:
+    entries = np.array(entries, np.int64)
+    line, state = np.divmod(entries, WIDTH)
+    if lo == 0:
+        line[:] = _kind(text[:LOOK].split("\n", 1)[0])
+    opened = np.full(len(entries), lo, np.int64)
+    some, every = [], []
+    fresh = state == BETWEEN
+    if fresh.any():
+        at = visible(max(lo, reach))
+        if at < hi:
+            some.append((at, fresh.copy()))
+            state[fresh], opened[fresh] = 1, at
+    step, n = 0, len(found)
+    # All entries at once, until they have come together.
+    while step < n and (len(entries) > 1 and not ((state == state[0]).all() and (line == line[0]).all() and (opened == opened[0]).all())):
+        symbol, place, over = found[step]
+        step += 1
+        rule = TABLE[symbol]
+        where = line * WIDTH + state
+        live = state != BETWEEN
+        if symbol != OPEN:
+            live &= place >= opened
+        ended = rule[5][where] & live
+        line = rule[3][where] // WIDTH
+        state = np.where(live, rule[4][where], state)
+        if ended.any():
+            at = visible(max(over, lo))
+            if at < hi:
+                some.append((at, ended))
+                state[ended], opened[ended] = 1, at
+    if step < n:
+        row, now, since = int(line[0]), int(state[0]), int(opened[0])
+        for symbol, place, over in found[step:]:
+            lines, inside, ends = TABLE[symbol][:3]
+            where = row * WIDTH + now
+            row = lines[where]
+            if now == BETWEEN or place < since and symbol != OPEN:
                 continue
-            state, ended = TABLE[state][event]
-            if ended:
+            now = inside[where]
+            if ends[where]:
                 at = visible(max(over, lo))
                 if at < hi:
-                    mine.append(at)
-                    state, opened = 1, at
-        exits.append(state)
-        starts.append(mine)
-    return exits, starts
+                    every.append(at)
+                    now, since = 1, at
+        line[:], state[:] = row, now
+    return line * WIDTH + state, some, every
 
 
-class _Short:
-    def __call__(self, batch):
-        docs, places = [], []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            for at in chunk_function(text, 0, len(text), (BETWEEN,))[1][0]:
-                docs.append(doc)
-                places.append(at)
-        return {"doc_id": docs, "start_pos": places}
+def chunk_function(text: str, lo: int, hi: int, entries=range(STATES)):
+    """Per entry state the exit state and the starts within lo..hi."""
+    exits, some, every = summary(text, lo, hi, entries, _Ahead(text))
+    return exits.tolist(), [[at for at, who in some if who[k]] + every for k in range(len(exits))]
 
 
-class _Chunk:
-    """``text`` holds a chunk with its context; ``before`` says how much of it comes before the chunk."""
+FUNCTIONS = "doc_id bigint, first int, exits array<smallint>, at array<bigint>, chunk array<int>, who array<binary>"
+
+
+class _Functions:
+    """Texts, or pieces of them, to the functions of their chunks.
+
+    ``first`` is the number of a piece's first chunk, ``before`` how much of the
+    piece stands before it, ``size`` how much belongs to it, ``tail`` the marks
+    that follow. The first chunk of a text is entered between sentences.
+    """
 
     def __init__(self, chunk):
         self.chunk = chunk
 
     def __call__(self, batch):
-        out: dict = {"doc_id": [], "chunk_no": [], "exits": [], "starts": []}
-        for doc, number, before, text in zip(batch["doc_id"], batch["chunk_no"], batch["before"], batch["text"]):
-            exits, starts = chunk_function(text, before, min(len(text), before + self.chunk))
-            out["doc_id"].append(doc)
-            out["chunk_no"].append(number)
-            out["exits"].append(exits)
-            out["starts"].append([[number * self.chunk + at - before for at in mine] for mine in starts])
+        out: dict = {name: [] for name in ("doc_id", "first", "exits", "at", "chunk", "who")}
+        for doc, first, before, size, tail, text in zip(*(batch[c] for c in ("doc_id", "first", "before", "size", "tail", "text"))):
+            exits, places, numbers, who = [], [], [], []
+            ahead = _Ahead(text, tail)
+            for number, lo in enumerate(range(before, before + size, self.chunk), first):
+                base = number * self.chunk - lo
+                left, some, every = summary(text, lo, min(lo + self.chunk, before + size), (BETWEEN,) if number == 0 else range(STATES), ahead)
+                exits += left.tolist() * (STATES if number == 0 else 1)
+                places += [base + at for at, _ in some] + [base + at for at in every]
+                numbers += [number - first] * (len(some) + len(every))
+                who += [b"" if mask.all() else np.packbits(mask).tobytes() for _, mask in some] + [b""] * len(every)
+            for name, value in zip(out, (doc, first, exits, places, numbers, who)):
+                out[name].append(value)
+        return out
+
+
+class _Split:
+    """Long texts to pieces, in one pass from left to right."""
+
+    def __init__(self, chunk, spread):
+        self.chunk, self.spread = chunk, spread
+
+    def __call__(self, batch):
+        out: dict = {name: [] for name in ("doc_id", "first", "before", "size", "tail", "text")}
+        for doc, text in zip(batch["doc_id"], batch["text"]):
+            step = self.chunk * self.spread
+            begins = range(0, len(text), step)
+            ends = [min(len(text), b + step + AROUND) for b in begins]
+            for begin, end, tail in zip(begins, ends, tails(text, ends)):
+                before = min(begin, AROUND)
+                for name, value in zip(out, (doc, begin // self.chunk, before, min(step, len(text) - begin), tail, text[begin - before : end])):
+                    out[name].append(value)
         return out
 
 
@@ -356,42 +473,49 @@ def prefix_entries(functions: np.ndarray) -> np.ndarray:
 
 
 class _Scan:
+    """Composes the functions of each text and keeps the starts of its chunks' true entries."""
+
     def __call__(self, batch):
-        out: dict = {"doc_id": [], "chunk_no": [], "entry": []}
-        for doc, functions in zip(batch["doc_id"], batch["functions"]):
-            ordered = sorted(functions, key=lambda f: f["chunk_no"])
-            entries = prefix_entries(np.array([f["exits"] for f in ordered], np.int64))
-            out["doc_id"] += [doc] * len(ordered)
-            out["chunk_no"] += [f["chunk_no"] for f in ordered]
-            out["entry"] += [int(e) for e in entries]
-        return out
+        docs, starts = [], []
+        for doc, exits, places, chunks, who in zip(*(batch[c] for c in ("doc_id", "exits", "at", "chunk", "who"))):
+            entries = prefix_entries(np.array(exits, np.int64).reshape(-1, STATES)) if exits else []
+            mine = [at for at, k, mask in zip(places, chunks, who) if not mask or mask[entries[k] >> 3] >> (7 - (entries[k] & 7)) & 1]
+            docs += [doc] * len(mine)
+            starts += mine
+        return {"doc_id": docs, "start_pos": starts}
 
 
-def sentence_starts(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def sentence_starts(documents: DataFrame, chunk: int = CHUNK, spread: int = SPREAD) -> DataFrame:
     """(doc_id, text) to one row (doc_id, start_pos) per sentence.
 
-    Texts up to one chunk need no shuffle. The chunks of longer ones are spread
-    over the cluster; only their functions, a few numbers each, come together
-    by document.
+    One stage makes the functions of chunks, a second one composes them. Texts of
+    up to ``spread`` chunks stay in their task and need no shuffle. Longer ones
+    are cut into pieces in one pass and spread over the cluster; only their
+    functions, a few numbers for each chunk, come together again. Rows that share
+    a doc_id are told apart by their text.
     """
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    short = map_batches(texts.where(F.length("text") <= chunk), _Short(), "doc_id bigint, start_pos bigint")
-
-    long = texts.where(F.length("text") > chunk)
-    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk_no")
-    begin = F.greatest(F.col("chunk_no") * chunk - CONTEXT, F.lit(0))
-    pieces = long.select("doc_id", "text", number).select(
-        "doc_id",
-        "chunk_no",
-        (F.col("chunk_no") * chunk - begin).cast("int").alias("before"),
-        F.substring("text", (begin + 1).cast("int"), (F.col("chunk_no") * chunk - begin + chunk + CONTEXT).cast("int")).alias("text"),
-    )
-    spread_out = pieces.repartition("doc_id", "chunk_no")
-    functions = map_batches(
-        spread_out, _Chunk(chunk), "doc_id bigint, chunk_no int, exits array<int>, starts array<array<bigint>>"
+    most = chunk * spread
+    whole = texts.where(F.length("text") <= most).select(
+        "doc_id", F.lit(0).alias("first"), F.lit(0).alias("before"), F.length("text").alias("size"), F.lit("").alias("tail"), "text"
     )
-    by_text = functions.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_no", "exits")).alias("functions"))
-    entries = map_batches(by_text, _Scan(), "doc_id bigint, chunk_no int, entry int")
-    joined = functions.join(entries, ["doc_id", "chunk_no"])
-    placed = joined.select("doc_id", F.explode(F.expr("starts[entry]")).alias("start_pos"))
-    return short.unionByName(placed)
+    short = map_batches(whole, _Functions(chunk), FUNCTIONS)
+
+    key = F.to_json(F.struct("doc_id", F.xxhash64("text").alias("print")))
+    pieces = map_batches(texts.where(F.length("text") > most).select(key.alias("doc_id"), "text"), _Split(chunk, spread), PIECES)
+    functions = map_batches(pieces.repartition("doc_id", "first"), _Functions(chunk), FUNCTIONS.replace("doc_id bigint", "doc_id string"))
+    once = functions.groupBy("doc_id", "first").agg(F.first(F.struct("first", "exits", "at", "chunk", "who")).alias("f"), F.count("*").alias("copies"))
+    by_text = once.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f"), F.max("copies").alias("copies"))
+    rejoined = by_text.select(
+        F.from_json("doc_id", "doc_id bigint, print bigint")["doc_id"].alias("doc_id"),
+        F.flatten("f.exits").alias("exits"),
+        F.flatten("f.at").alias("at"),
+        F.flatten(F.transform("f", lambda p: F.transform(p["chunk"], lambda k: k + p["first"]))).alias("chunk"),
+        F.flatten("f.who").alias("who"),
+        F.explode(F.expr("sequence(1, copies)")).alias("copy"),
+    ).drop("copy")
+    functions_of_texts = short.drop("first").unionByName(rejoined)
+    return map_batches(functions_of_texts, _Scan(), "doc_id bigint, start_pos bigint")
+
+
+PIECES = "doc_id string, first int, before int, size int, tail string, text string"
