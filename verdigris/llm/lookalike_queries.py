@@ -36,8 +36,13 @@ def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_texts(texts(spark, folder))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row that looks like a different spelling, with its class: as many rows as texts, whatever the pairs."""
+    return lookalike.classes(texts(spark, folder)).select("field", "row_id", F.hex("class_id").alias("class_id"), F.hex("spelling").alias("spelling"), "n_spellings")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_canonical": p2_canonical}
+    return {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_classes": p2_classes}
 
 
 def oracle_sql() -> dict:
