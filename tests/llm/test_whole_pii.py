@@ -14,3 +14,81 @@ def test_replaced_keeps_names_apart(spark):
     rows = [("a", i, f"Please call {n} on Monday") for i, n in enumerate(("Senna Ostrander", "Tovie Merrow"))]
     out = pii.replaced_distinct(spark.createDataFrame(rows, "field string, row_id bigint, text string")).collect()
     assert len(out) == 2 and len({r.surrogate for r in out}) == 2
+
+
+def test_every_spelling_of_a_phone_number_has_the_same_national_digits():
+    s = pii.Surrogates("k")
+    digits = {"".join(c for c in s.make("PHONE", t) if c.isdigit()) for t in ("0912 345 678", "0912.345.678", "0 9 1 2 3 4 5 6 7 8", "091-234-5678")}
+    abroad = {"".join(c for c in s.make("PHONE", t) if c.isdigit()) for t in ("+84 912 345 678", "(+84) 912345678", "84912345678")}
+    assert len(digits) == 1 and abroad == {"84" + digits.pop()[1:]}
+
+
+def test_accents_part_persons_and_case_does_not():
+    s = pii.Surrogates("k")
+    an, an2, an3 = (s.entity("PERSON", n) for n in ("Nguyễn Văn An", "Nguyễn Văn Ân", "NGUYỄN VĂN AN"))
+    assert an != an2 and an == an3
+
+
+def test_gender_of_names():
+    s = pii.Surrogates("k")
+    told = {n: s.gender(n) for n in ("Nguyễn Thị An", "Nguyễn Văn Thảo", "Nguyễn Lan Anh", "Trần Mạnh Dũng", "Tran Thi Na", "Lê Xyz Qwr")}
+    assert list(told.values()) == ["f", "m", "f", "m", "f", ""]
+    for n, g in told.items():
+        middle = s.make("PERSON", n).split()[1]
+        pool = {"f": s.FEMALE, "m": s.MALE, "": s.EITHER}[g]
+        assert middle in pool or pii.bare(middle) in {pii.bare(x).replace("đ", "d") for x in pool} | {pii.bare(x) for x in pool} or n.isascii()
+
+
+def test_mail_keeps_its_make():
+    s = pii.Surrogates("k")
+    made = s.make("EMAIL", "net_kha99@hopthu-lua.example")
+    assert made.endswith(".example") and made.index("_") == 3 and made[7:9].isdigit() and made.count("@") == 1 and made != "net_kha99@hopthu-lua.example"
+    hidden = s.make("EMAIL", "Truongan-99[a còng]thu chấm vanmia chấm test")
+    assert "[a còng]" in hidden and hidden.count(" chấm ") == 2 and hidden[0].isupper() and hidden[8] == "-"
+    assert made.split("@")[1] == s.make("EMAIL", "other@hopthu-lua.example").split("@")[1]
+
+
+def test_no_surrogate_is_shared(spark):
+    names = [f"{a} {b}" for a in ("Senna", "Odmar", "Tovie", "Pell") for b in ("Quennell", "Haldsworth", "Merrow")] + ["Nguyễn Văn An", "Nguyễn Văn Ân", "Nguyen Van An"]
+    mails = [f"{c}@a.example" for c in "abcdefghijklmnopqrstuvwxyz"] + ["a@b.example"]
+    found = spark.createDataFrame([("PERSON", n) for n in names] + [("EMAIL", m) for m in mails], "pii_type string, item string")
+    assert pii.collisions(found, "k").count() == 0
+    drawn = spark.createDataFrame([("a", i, f"mail {m} nhé") for i, m in enumerate(mails)], "field string, row_id bigint, text string")
+    assert len({r.surrogate for r in pii.replaced_distinct(drawn, "k").collect()}) == len(mails)
+
+
+def test_hints_never_hide_an_item(monkeypatch):
+    import random
+
+    import regex
+
+    rng = random.Random(9)
+    parts = [
+        "net@thu.example", "an[a còng]thu chấm vn", "an at thu dot vn", " a cong ", "số 197 đường Vườn Nhãn, phường Sim", "259/52 rang phi lao, p. 12, tp. bai thom", "119 Weaver's St., Ward 4",
+        "ngõ 4 Lê Lợi", "căn 5 chung cư Mây", "thôn 3, xã Lụa", "Hộ chiếu", "P 6694926", "cmnd", "331413181", "BHXH", "5022874294", "0912345678", "+84 912 345 678", "Nghiêm Quang Mơ", "PHÙNG XUÂN LAM HÀ", "lục xuân diệp",
+        "Pell Merrow", "gọi chị", "tên là", "Mai Anh", "công ty ở", ".", ",", "\n", "15", "đường", "Road", "@", "at",
+    ]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]
+    with_hints = [pii.detect(t) for t in texts]
+    always = regex.compile("")
+    for hint in ("_address_hint", "_email_hint", "_passport_hint"):
+        monkeypatch.setattr(pii, hint, always)
+
+    class Always(dict):
+        def __missing__(self, key):
+            return True
+
+    monkeypatch.setattr(pii, "_begins", Always())
+    for text, found in zip(texts, with_hints):
+        assert pii.detect(text) == found, text
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    unit = "gọi 0912345678 hoặc an@thu.example, chị Nghiêm Quang Mơ. "
+    began = time.process_time()
+    small = len(pii.detect(unit * 200))
+    middle = time.process_time()
+    large = len(pii.detect(unit * 2000))
+    assert large == 10 * small == 6000 and time.process_time() - middle < 30 * (middle - began + 0.05)

@@ -10,8 +10,10 @@ Surrogates are keyed: the same person, number or address gets the same
 replacement in every text and place of the corpus without any shared state
 (coreference), the replacement has the original's gender, script, case and
 grouping, and digits are replaced by a keyed permutation of their length, which
-can't collide. Names and addresses carry a keyed draw from a product of lists;
-``collisions`` finds the draws that fell together, and ``salted`` redraws them.
+can't collide. Names, addresses and e-mail addresses carry a keyed draw from a
+product of parts; draws that fall together are redrawn until none do
+(``redrawn``). Without a key a fresh random one is drawn for the call, so that
+nobody who has the code can undo the replacement.
 
 Defined results: null texts stay null and hold nothing; empty texts stay empty;
 items of one type are numbered from 1 in order of their start.
@@ -20,6 +22,7 @@ items of one type are numbered from 1 in order of their start.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import unicodedata
 
 import regex
@@ -158,14 +161,23 @@ MIDDLE = (
     "Trọng Quốc Duy Nhật Thế Chí Viết Phúc Diệu Cẩm Tuyết Hoài Khánh Trung Tiến Đăng Hùng Mạnh Bá Sỹ Ánh Diễm Kiều Lan Thúy Việt Huy "
     "Nam Thành Vĩnh Trường Tường Nguyên Hà Linh Quỳnh Thảo Yến Hoa"
 ).split()
-# Given names of two syllables.
-DOUBLE = {"lam ha", "truong an", "bao an", "minh anh", "thu ha", "ngoc anh", "hai yen", "khanh linh", "thuy linh", "phuong anh"}
+# Vietnamese given names, by who usually bears them.
+GIVEN_MALE = (
+    "Cường Dũng Hùng Hưng Kiên Long Mạnh Nghĩa Phong Phúc Quân Sơn Thắng Thịnh Tiến Toàn Trung Trường Tú Tuấn Tùng Việt Vinh Vũ Đạt Đức Hậu Hiếu "
+    "Huy Khôi Khoa Lộc Luân Nam Nhân Quốc Quý Tài Tấn Thành Thiện Thuận Tín Toản Trí Trọng Vương Bình Chiến Công Danh Duy Đông Giang Hoàng Khang"
+).split()
+GIVEN_FEMALE = (
+    "Anh Bích Châu Chi Cúc Diễm Diệp Diệu Dung Duyên Đào Hạnh Hằng Hiền Hoa Hồng Huệ Huyền Hương Lan Lệ Liên Liễu Linh Loan Ly Mai My Mỹ Nga Ngân Ngọc "
+    "Nguyệt Nhi Nhung Như Oanh Phượng Phương Quyên Quỳnh Sương Thắm Thảo Thi Thơ Thu Thúy Thùy Thủy Thư Thương Tiên Trà Trang Trâm Trinh Trúc Tuyết Uyên Vân Vy Xuyến Yến"
+).split()
+GIVEN_BOTH = "An Ân Bảo Hà Hải Khánh Lam Lâm Minh Nhật Tâm Thanh Trân Xuân Quang Hòa Thái Ninh Phú Nguyên".split()
 # Family names that are everyday syllables too; in small letters they need a cue before them.
 WEAK = "Lại Quan Viên Từ Văn Ông Khổng La Cao Hứa Hồ Mai Hà Lâm Lý Chu Sơn Thân Trà Âu Lương Vi Lục Cung Đào Đậu Kha Giang Thái Bạch Tiêu".split()
 _weak = {n.lower() for n in WEAK}
 
 _family = {bare(n) for n in FAMILY}
 _middle = {bare(n) for n in MIDDLE}
+_syllables_of_names = {bare(n) for n in (*MIDDLE, *GIVEN_MALE, *GIVEN_FEMALE, *GIVEN_BOTH)}
 _family_exact = {unicodedata.normalize("NFC", n.lower()) for n in FAMILY}
 _middle_exact = {unicodedata.normalize("NFC", n.lower()) for n in MIDDLE}
 _token = regex.compile(r"[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}]+)?")
@@ -211,6 +223,10 @@ class _Begins(dict):
 _begins = _Begins()
 
 
+#: How far before an item what tells of it may stand; longer than any of the patterns that end there.
+BEFORE = 120
+
+
 def _person_spans(text: str):
     """Spans of full personal names, from left to right."""
     tokens = [(m.start(), m.end(), m[0]) for m in _token.finditer(text)]
@@ -219,6 +235,9 @@ def _person_spans(text: str):
     def joined(k):
         return k + 1 < n and text[tokens[k][1] : tokens[k + 1][0]] == " "
 
+    def cue(start):
+        return _cue.search(text[max(0, start - BEFORE) : start]) is not None
+
     while i < n:
         start, end, token = tokens[i]
         if not _begins[token]:
@@ -235,20 +254,21 @@ def _person_spans(text: str):
             if known and right and same and three:
                 shape = _case(three) == case
                 if case == "L":
-                    cued = start == 0 or text[:start].rstrip(" ")[-1:] in ".?!:,;(\n" or _cue.search(text[:start]) is not None
+                    cued = start == 0 or text[max(0, start - BEFORE) : start].rstrip(" ")[-1:] in ".?!:,;(\n" or cue(start)
                     shape = shape and (cued or (not ascii_name and low in _family_exact and low not in _weak))
                 if shape:
                     k = i + 2
                     if joined(k):
                         four = tokens[k + 1][2]
-                        pair = f"{bare(three)} {bare(four)}"
-                        if _case(four) == case and (case == "T" or pair in DOUBLE):
-                            if case != "T" or pair in DOUBLE or not joined(k + 1) or _case(tokens[k + 2][2]) != "T":
+                        # A given name of two syllables, both of which are known from names.
+                        double = bare(three) in _syllables_of_names and bare(four) in _syllables_of_names
+                        if _case(four) == case and (case == "T" or double):
+                            if case != "T" or double or not joined(k + 1) or _case(tokens[k + 2][2]) != "T":
                                 k += 1
                     spans.append((start, tokens[k][1]))
                     i = k + 1
                     continue
-            if case in "TU" and same and not (known and three) and _cue.search(text[:start]):
+            if case in "TU" and same and not (known and three) and cue(start):
                 k = i + 1
                 while k < i + 3 and joined(k) and _case(tokens[k + 1][2]) == case:
                     k += 1
@@ -279,33 +299,44 @@ _any = regex.compile(r"\d{2}|\d [\d ]|@|(?i:\bat\b|còng|\bcong\b)|\p{Lu}")
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the items of a text in its one form, by start."""
     found: list = []
-    work = text
+    work, letters = text, None
 
     def take(start, end, kind):
-        nonlocal work
+        nonlocal letters
         found.append((start, end, kind))
-        work = work[:start] + "\x00" * (end - start) + work[end:]
+        letters = letters or list(work)
+        letters[start:end] = "\x00" * (end - start)
+
+    def closed():
+        """The text with what has been taken blanked, written anew only once for each type."""
+        nonlocal work, letters
+        if letters:
+            work, letters = "".join(letters), None
+        return work
+
+    def before(start, size=BEFORE):
+        return "".join(letters[max(0, start - size) : start]) if letters else work[max(0, start - size) : start]
 
     for m in _email.finditer(work) if _email_hint.search(work) else ():
         take(m.start(), m.end(), "EMAIL")
-    for m in list(_address.finditer(work)) if _address_hint.search(work) else ():
-        if not _office.search(work[max(0, m.start() - 60) : m.start()]):
+    for m in _address.finditer(closed()) if _address_hint.search(closed()) else ():
+        if not _office.search(before(m.start(), 60)):
             take(m.start(), m.end(), "ADDRESS")
-    for m in list(_passport.finditer(work)) if _passport_hint.search(work) else ():
-        if _passport_cue.search(work[: m.start()]):
+    for m in _passport.finditer(closed()) if _passport_hint.search(closed()) else ():
+        if _passport_cue.search(before(m.start())):
             take(m.start(), m.end(), "NATIONAL_ID")
-    for m in list(_insurance.finditer(work)):
-        if sum(c.isdigit() for c in m[0]) == 10 and _insurance_cue.search(work[: m.start()]):
+    for m in _insurance.finditer(closed()):
+        if sum(c.isdigit() for c in m[0]) == 10 and _insurance_cue.search(before(m.start())):
             take(m.start(), m.end(), "NATIONAL_ID")
-    for m in list(_card.finditer(work)):
+    for m in _card.finditer(closed()):
         take(m.start(), m.end(), "NATIONAL_ID")
-    for m in list(_phone.finditer(work)):
-        if not _not_phone.search(work[max(0, m.start() - 40) : m.start()]):
+    for m in _phone.finditer(closed()):
+        if not _not_phone.search(before(m.start(), 40)):
             take(m.start(), m.end(), "PHONE")
-    for m in list(_old_card.finditer(work)):
-        if _old_cue.search(work[: m.start()].replace("\x00", "0")):
+    for m in _old_card.finditer(closed()):
+        if _old_cue.search(before(m.start()).replace("\x00", "0")):
             take(m.start(), m.end(), "NATIONAL_ID")
-    for start, end in _person_spans(work):
+    for start, end in _person_spans(closed()):
         take(start, end, "PERSON")
     return sorted(found)
 
@@ -316,6 +347,7 @@ class Surrogates:
     # Parts of invented names, by gender.
     MALE = ("Văn", "Đình", "Hữu", "Khắc", "Quang", "Bá", "Đức", "Công", "Duy", "Thế")
     FEMALE = ("Thị", "Mỹ", "Thu", "Ngọc", "Diệu", "Kim", "Bích", "Hồng", "Cẩm", "Tuyết")
+    EITHER = ("Minh", "Bảo", "Khánh", "Hải", "Thanh", "Xuân", "Hoài", "Nhật", "An", "Gia")
     GIVEN = (
         "Kỷ Lạc Sâm Tùng Thạch Trúc Bằng Thông Vinh Cúc Liễu Trầm Dung Hiền Phụng Đào Vân Tiên Nhạn Sương Thúy Lê Băng Giáng Hân Khuyên "
         "Ly Mẫn Nga Oanh Phấn Quyên Sao Tâm Uyên Vy Xoan Ý Ân Biên Chiến Dũng Đạt Giáp Hoan Kiên Lực Nghĩa Phong Quý Sáu Tài Thuận Út"
@@ -330,8 +362,8 @@ class Surrogates:
         self.key, self.salt = key.encode(), salt or {}
 
     def entity(self, kind: str, text: str) -> str:
-        """What makes two mentions one entity: letters and digits, without case, accents and grouping."""
-        folded = bare(text)
+        """What makes two mentions one entity: letters with their accents and digits, without case and grouping."""
+        folded = unicodedata.normalize("NFC", text.lower()) if kind == "PERSON" else bare(text)
         if kind == "PHONE":
             digits = "".join(c for c in folded if c.isdigit())
             for lead in ("0084", "84"):
@@ -345,7 +377,7 @@ class Surrogates:
 
     def draw(self, kind: str, entity: str, n: int) -> int:
         salt = self.salt.get((kind, entity), "")
-        digest = hashlib.blake2b(f"{kind}\x00{entity}\x00{salt}".encode(), key=self.key[:64], digest_size=16).digest()
+        digest = hashlib.blake2b(f"{kind}\x00{entity}\x00{salt}".encode(), key=self.key[:64], digest_size=64).digest()
         return int.from_bytes(digest, "big") % n
 
     def digits(self, kind: str, text: str) -> str:
@@ -367,6 +399,57 @@ class Surrogates:
         fresh = iter(lead + made[1:] if lead else made)
         return "".join(next(fresh) if c.isdigit() else c for c in text)
 
+    def gender(self, name: str) -> str:
+        """f, m or neither, by the middle name if that tells, else by the given name; without accents only what is clear."""
+        words = name.split()[1:]
+        plain = name.isascii()
+        fold = bare if plain else str.lower
+
+        def told(word, female, male):
+            mine = fold(word)
+            f, m = mine in {fold(n) for n in female}, mine in {fold(n) for n in male}
+            return "f" if f and not m else "m" if m and not f else ""
+
+        for word in words[:-1]:
+            if fold(word) in (fold("Thị"), fold("Văn")):
+                return "f" if fold(word) == fold("Thị") else "m"
+        for word in reversed(words):
+            gender = told(word, (*GIVEN_FEMALE, *self.FEMALE), (*GIVEN_MALE, *self.MALE))
+            if gender:
+                return gender
+        return ""
+
+    def mail(self, text: str, entity: str, redraws: int) -> str:
+        """An address of the same make: parts, digits, marks and disguises stay where they are, the last label is a reserved one."""
+        at = regex.search(rf"(?i){_at}|\s+at\s+", text)
+        local, sign, domain = text[: at.start()], at[0], text[at.end() :]
+        _, _, host = entity.partition("@")
+
+        def filled(part, n, keep):
+            out = []
+            for piece in regex.split(rf"(?i)({_dot}|[._+-])", part):
+                if regex.fullmatch(rf"(?i){_dot}|[._+-]", piece):
+                    out.append(piece)
+                    continue
+                made = ""
+                for c in piece:
+                    if c.isdigit():
+                        n, digit = divmod(n, 10)
+                        made += str(digit)
+                    elif c.isalpha():
+                        n, letter = divmod(n, 26)
+                        made += chr((65 if c.isupper() else 97) + letter)
+                    else:
+                        made += c
+                out.append(made)
+            if keep:
+                out[-1] = "EXAMPLE" if out[-1].isupper() else "example"
+            return "".join(out)
+
+        # Redraws add a letter each, so that short names don't run out.
+        name = filled(local + "x" * redraws, self.draw("EMAIL", entity, 2**400), False)
+        return f"{name}{sign}{filled(domain, self.draw('HOST', host, 2**400), True)}"
+
     def make(self, kind: str, text: str) -> str:
         entity = self.entity(kind, text)
         # Each redraw of a name takes a part more, so that there are names enough for any number of persons.
@@ -374,15 +457,13 @@ class Surrogates:
         if kind in ("PHONE", "NATIONAL_ID"):
             return self.digits(kind, text)
         if kind == "EMAIL":
-            name = f"nguoi{self.draw(kind, entity, 10**10):010d}@thu.example"
-            return name.upper() if text.isupper() else name
+            return self.mail(text, entity, redraws)
         if kind == "ADDRESS":
             n = self.draw(kind, entity, 10**9)
             made = f"số {n % 89_000 + 1} đường {self.STREETS[n % len(self.STREETS)]}, phường {n // 89_000 % 9_000 + 1}"
         elif bare(text.split()[0]) in _family:
-            second = bare(text.split()[1]) if len(text.split()) > 1 else ""
-            female = second in {"thi", "my", "thu", "ngoc", "dieu", "kim", "bich", "hong", "cam", "tuyet", "thuy"}
-            middle = self.FEMALE if female else self.MALE
+            gender = self.gender(text)
+            middle = self.FEMALE if gender == "f" else self.MALE if gender == "m" else self.EITHER
             n = self.draw(kind, entity, 2**120)
             words = []
             for part in (FAMILY, middle, self.GIVEN, self.GIVEN, *[self.GIVEN] * redraws):
@@ -458,11 +539,23 @@ def items(texts: DataFrame) -> DataFrame:
     return map_batches(texts.where("text is not null and text <> ''"), _Find(), schema)
 
 
-def replaced(texts: DataFrame, key: str = "verdigris", salt: dict | None = None) -> DataFrame:
+def _own(key: str | None) -> str:
+    """The caller's key, or a random one."""
+    return key or secrets.token_hex(32)
+
+
+def replaced(texts: DataFrame, key: str | None = None, salt: dict | None = None) -> DataFrame:
     """(field, row_id, text) to the text with placeholders and the text with surrogates. No shuffle."""
+    key = _own(key)
     return map_batches(texts, _Replace(key, salt), "field string, row_id bigint, redacted string, surrogate string")
 
 
+def _seen(kind: str, made: str) -> str:
+    """A surrogate without case, accents and, but for names, what isn't a letter or digit: equal for what reads alike."""
+    folded = bare(made)
+    return folded if kind == "PERSON" else "".join(c for c in folded if c.isalnum() or c in "@./")
+
+
 class _Draw:
     def __init__(self, key, salt):
         self.surrogates = Surrogates(key, salt)
@@ -472,18 +565,28 @@ class _Draw:
         return {
             "pii_type": batch["pii_type"],
             "entity": [self.surrogates.entity(k, t) for k, t in pairs],
-            "made": [bare(self.surrogates.make(k, t)) for k, t in pairs],
+            "made": [_seen(k, self.surrogates.make(k, t)) for k, t in pairs],
+            "item": batch["item"],
         }
 
 
-def collisions(found: DataFrame, key: str = "verdigris", salt: dict | None = None) -> DataFrame:
-    """Surrogates that stand for more than one entity, with the number of entities.
+def collisions(found: DataFrame, key: str | None = None, salt: dict | None = None) -> DataFrame:
+    """Surrogates that stand for more than one entity after redraws, with the number of entities; none is left.
 
     Entities are made distinct before they are grouped by surrogate, so a name
-    that fills a third of all rows is one row here.
+    that fills a third of all rows is one row here. With ``salt`` given, its
+    redraws are tested instead.
     """
-    drawn = map_batches(found.select("pii_type", "item"), _Draw(key, salt), "pii_type string, entity string, made string")
-    return drawn.distinct().groupBy("pii_type", "made").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
+    key = _own(key)
+    schema = "pii_type string, entity string, made string"
+    items = found.select("pii_type", "item").distinct()
+    if salt is not None:
+        drawn = map_batches(items, _Draw(key, salt), schema)
+    else:
+        salts = redrawn(found, key)
+        known = map_batches(items, _Draw(key, {}), schema + ", item string").drop("made").join(salts, ["pii_type", "entity"], "left")
+        drawn = map_batches(known.select("pii_type", "item", "salt"), _Redraw(key), "pii_type string, item string, salt string, " + schema.split(", ", 1)[1])
+    return drawn.select("pii_type", "entity", "made").distinct().groupBy("pii_type", "made").agg(F.count("*").alias("n_entities")).where("n_entities > 1")
 
 
 class _Redraw:
@@ -497,11 +600,11 @@ class _Redraw:
         for kind, item, salt in zip(batch["pii_type"], batch["item"], batch["salt"]):
             entities.append(self.surrogates.entity(kind, item))
             self.surrogates.salt = {(kind, entities[-1]): salt} if salt else {}
-            made.append(bare(self.surrogates.make(kind, item)))
+            made.append(_seen(kind, self.surrogates.make(kind, item)))
         return {"pii_type": batch["pii_type"], "item": batch["item"], "salt": batch["salt"], "entity": entities, "made": made}
 
 
-def redrawn(found: DataFrame, key: str = "verdigris") -> DataFrame:
+def redrawn(found: DataFrame, key: str) -> DataFrame:
     """(pii_type, entity, salt): salts for entities whose surrogate fell together with another's.
 
     All but the first entity of a surrogate are drawn anew, and all are checked
@@ -529,8 +632,9 @@ class _Entity:
         return {"field": batch["field"], "row_id": batch["row_id"], "pii_type": batch["pii_type"], "entity": entities}
 
 
-def replaced_distinct(texts: DataFrame, key: str = "verdigris") -> DataFrame:
+def replaced_distinct(texts: DataFrame, key: str | None = None) -> DataFrame:
     """``replaced`` with the salts of ``redrawn``, joined to the texts that need them: different entities keep different surrogates."""
+    key = _own(key)
     found = items(texts)
     held = map_batches(found.select("field", "row_id", "pii_type", "item"), _Entity(key), "field string, row_id bigint, pii_type string, entity string")
     salts = held.join(redrawn(found, key), ["pii_type", "entity"]).groupBy("field", "row_id").agg(F.collect_set(F.struct("pii_type", "entity", "salt")).alias("salts"))
@@ -541,13 +645,13 @@ def replaced_distinct(texts: DataFrame, key: str = "verdigris") -> DataFrame:
 MOST_SALTS = 100_000
 
 
-def salted(found: DataFrame, key: str = "verdigris") -> dict:
-    """Redraws for entities whose surrogate fell together with another's, for ``replaced``.
+def salted(found: DataFrame, key: str | None = None) -> dict:
+    """Redraws for entities whose surrogate fell together with another's, for ``replaced``; ``replaced_distinct`` has no bound.
 
     All but the first entity of a surrogate, in order, get a salt. Collisions are
     rare draws, not data, but their number is checked before they come to the driver.
     """
-    rows = redrawn(found, key).limit(MOST_SALTS + 1).collect()
+    rows = redrawn(found, _own(key)).limit(MOST_SALTS + 1).collect()
     if len(rows) > MOST_SALTS:
         raise ValueError("more collisions than salts may be sent; use longer surrogates")
     return {(row.pii_type, row.entity): row.salt for row in rows}

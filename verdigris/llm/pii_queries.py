@@ -31,14 +31,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.items(texts(spark, folder)).select("field", "row_id", "pii_type", "item_no")
 
 
+def _key(spark: SparkSession):
+    """The secret of the surrogates, ``spark.verdigris.pii.key``; without it each call draws its own."""
+    return spark.conf.get("spark.verdigris.pii.key", None)
+
+
 def p3_replaced(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with typed placeholders, and with keyed surrogates that differ where the entities do."""
-    return pii.replaced_distinct(texts(spark, folder))
+    return pii.replaced_distinct(texts(spark, folder), _key(spark))
 
 
 def p3_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Surrogates that more than one entity has drawn."""
-    return pii.collisions(pii.items(texts(spark, folder)))
+    """Surrogates that more than one entity has in the end; there should be none."""
+    return pii.collisions(pii.items(texts(spark, folder)), _key(spark))
 
 
 def queries() -> dict:
