@@ -9,7 +9,9 @@ from verdigris.sources.tables import table
 
 
 def _plan(spark: SparkSession, folder: str) -> mixture.Plan:
-    return mixture.Plan(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+    """The tokenizer's folder is ``spark.verdigris.tokenizers``, where set."""
+    vocabulary = f"{spark.conf.get('spark.verdigris.tokenizers', mixture.TOKENIZERS)}/byte_bpe_multi_50k.tiktoken"
+    return mixture.Plan(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"), tokenizer=vocabulary)
 
 
 def p7_repeats(spark: SparkSession, folder: str) -> DataFrame:
