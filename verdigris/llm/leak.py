@@ -6,13 +6,17 @@ character; the automaton's state and the matched length say which items' runs
 of ``WORDS`` words have just been completed. Blanks take no part in the match,
 so lost or added ones don't matter; a run counts only if it starts and ends
 where words of the text do, or goes on beyond there in text and item alike.
+The runs are spans of the stored text; those that are long or cover much of an
+item are removed from it (``cleaned``).
 
-Defined results: null, empty and blank texts hold nothing; items with fewer
-than ``WORDS`` words can't be held; repeated items each count.
+Defined results: null, empty and blank texts hold nothing and stay as they are;
+items with fewer than ``WORDS`` words can't be held, which ``item_words`` tells;
+repeated items each count.
 """
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 
 from pyspark.sql import DataFrame
@@ -22,8 +26,10 @@ from verdigris.llm.lookalike import LOOKALIKES, _ignorable
 from verdigris.session import map_batches
 
 WORDS = 12
-#: Folded characters of items that one automaton holds; more items make more automata.
-BLOCK = 2_000_000
+#: Folded characters of items that one automaton holds, and that come to the driver at a time; more items make more passes.
+BLOCK = 200_000
+#: A span is removed if it has so many words, or so large a share of its item.
+LONG, COVERS = 12, 0.5
 
 
 class _Fold(dict):
@@ -158,11 +164,18 @@ class SuffixAutomaton:
         return cur
 
     def stream(self, words: list[str]) -> dict:
-        """Per item the longest run of the text's characters it shares, where a whole run of words is completed."""
+        """Per item the runs of the text's characters that it shares, as (start, end), where a whole run of words is completed."""
         nexts, link, length, done, steps = self.next, self.link, self.length, self.done, self.steps
         found: dict = {}
         state = matched = total = 0
         starts, pending = set(), []
+
+        def note(item, start, end):
+            runs = found.setdefault(item, [])
+            while runs and start <= runs[-1][1]:
+                start = min(start, runs.pop()[0])
+            runs.append((start, end))
+
         for word in words:
             starts.add(total)
             if not pending:
@@ -183,7 +196,7 @@ class SuffixAutomaton:
                     if step is not None:
                         # The run goes on in the text as in the item: a blank was lost there.
                         for item, room in pending:
-                            found[item] = max(room, found.get(item, 0))
+                            note(item, total - room, total)
                     pending = []
                 while step is None and state:
                     state = link[state]
@@ -204,59 +217,124 @@ class SuffixAutomaton:
                             pending.append((item, room))
                     up = link[up]
             for item, room in pending:
-                found[item] = max(room, found.get(item, 0))
+                note(item, total - room, total)
             pending = []
         return found
 
 
+def places(text: str) -> tuple[list[int], list[int]]:
+    """The place in the text of each of its folded characters, and the folded places where words begin."""
+    at, starts, fresh = [], [], True
+    for k, c in enumerate(text):
+        folded = " " if c.isspace() else FOLD[ord(c)]
+        for d in folded:
+            if d == " ":
+                fresh = True
+                continue
+            if fresh:
+                starts.append(len(at))
+                fresh = False
+            at.append(k)
+    return at, starts
+
+
 class _Stream:
-    """Builds the automata once per worker."""
+    """Spans of items in texts, or per text and item the longest alone; the automaton is built once per worker."""
 
-    def __init__(self, items, words):
-        self.items, self.words, self.automata = items, words, None
+    def __init__(self, items, words, longest):
+        self.__setstate__((items, words, longest))
 
     def __getstate__(self):
-        return (self.items, self.words)
+        return (self.items, self.words, self.longest)
 
     def __setstate__(self, state):
-        self.items, self.words = state
-        self.automata = None
+        self.items, self.words, self.longest = state
+        self.automaton = None
 
     def __call__(self, batch):
-        if self.automata is None:
-            self.automata, block, held = [], [], 0
-            for item in self.items:
-                block.append(item)
-                held += sum(map(len, item[1]))
-                if held >= BLOCK:
-                    self.automata.append(SuffixAutomaton(block, self.words))
-                    block, held = [], 0
-            if block:
-                self.automata.append(SuffixAutomaton(block, self.words))
-        out: dict = {"doc_id": [], "item_id": [], "n_chars": []}
-        for doc, text in zip(batch["doc_id"], batch["text"]):
-            words = words_of(text)
-            if len(words) == 0:
+        if self.automaton is None:
+            self.automaton = SuffixAutomaton(self.items, self.words)
+            self.sizes = {item: sum(map(len, tokens)) for item, tokens in self.items}
+        out: dict = {name.split()[0]: [] for name in SPANS.split(", ")}
+        for doc, mark, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
+            found = self.automaton.stream(words_of(text))
+            if not found:
                 continue
-            for automaton in self.automata:
-                for item, size in automaton.stream(words).items():
-                    out["doc_id"].append(doc)
-                    out["item_id"].append(item)
-                    out["n_chars"].append(size)
+            at, starts = places(text)
+            for item, runs in found.items():
+                for start, end in [max(runs, key=lambda run: run[1] - run[0])] if self.longest else runs:
+                    # What was matched of a word before the run isn't part of it.
+                    k = bisect.bisect_left(starts, start)
+                    n_words = bisect.bisect_left(starts, end) - k
+                    begin = starts[k] if n_words >= self.words else start
+                    for name, value in zip(out, (doc, mark, item, at[begin], at[end - 1] + 1, n_words, end - begin, min(1.0, (end - begin) / self.sizes[item]))):
+                        out[name].append(value)
         return out
 
 
-def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, n_chars) for every text that holds a run of an item's words.
+SPANS = "doc_id bigint, text_hash bigint, item_id bigint, start_pos int, end_pos int, n_words int, n_chars int, coverage double"
+
+
+class _Size:
+    def __call__(self, batch):
+        folded = [words_of(text or "") for text in batch["text"]]
+        return {"item_id": batch["item_id"], "n_words": [len(w) for w in folded], "n_chars": [sum(map(len, w)) for w in folded]}
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, n_words, n_chars) of the folded items; those below ``WORDS`` words can't be found."""
+    return map_batches(items.select("item_id", "text"), _Size(), "item_id bigint, n_words int, n_chars int")
 
-    The items are the stated held-out set, a fixed table that doesn't grow with
-    the corpus; its words go to the workers. The corpus is read once and not
-    shuffled.
+
+def spans(documents: DataFrame, items: DataFrame, words: int = WORDS, block: int = BLOCK, longest: bool = False) -> DataFrame:
+    """One row per run of an item's words in a text: its place there, its words, and the share of the item it covers.
+
+    ``longest`` keeps one run per text and item. Items are taken in blocks of
+    about ``block`` characters: a block comes to the driver and goes to the
+    workers, which hold one automaton of it. The corpus is read once for each
+    block and not shuffled; a held-out set of usual size is one block.
     """
-    held = [
-        (row.item_id, words_of(row.text))
-        for row in items.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id").collect()
-    ]
-    held = [item for item in held if len(item[1]) >= words]
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return map_batches(texts, _Stream(held, words), "doc_id bigint, item_id bigint, n_chars int")
+    items = items.where(F.col("text").isNotNull()).select("item_id", "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = None
+    for k in range(n_blocks):
+        rows = items.where(number == k).orderBy("item_id", "text").collect()
+        held = [item for item in ((row.item_id, words_of(row.text)) for row in rows) if len(item[1]) >= words]
+        if held:
+            mine = map_batches(texts, _Stream(held, words, longest), SPANS)
+            found = mine if found is None else found.unionByName(mine)
+    return documents.sparkSession.createDataFrame([], SPANS) if found is None else found
+
+
+def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, item_id, n_chars) for every text that holds a run of an item's words, with the longest run's folded characters."""
+    return spans(documents, items, words, longest=True).select("doc_id", "item_id", "n_chars")
+
+
+class _Clean:
+    def __call__(self, batch):
+        out: dict = {"doc_id": batch["doc_id"], "n_removed": [], "cleaned": []}
+        for text, cuts in zip(batch["text"], batch["cuts"]):
+            kept, at, removed = [], 0, 0
+            for start, end in sorted((c["start_pos"], c["end_pos"]) for c in cuts or ()):
+                if end > at:
+                    kept.append(text[at : max(at, start)])
+                    removed += end - max(at, start)
+                    at = end
+            out["n_removed"].append(removed)
+            out["cleaned"].append(None if text is None else "".join(kept) + text[at:])
+        return out
+
+
+def cleaned(documents: DataFrame, found: DataFrame, long: int = LONG, covers: float = COVERS) -> DataFrame:
+    """(doc_id, n_removed, cleaned): every text without the spans that are too long or cover too much of an item."""
+    cuts = (
+        found.where((F.col("n_words") >= long) | (F.col("coverage") >= covers))
+        .groupBy("doc_id", "text_hash")
+        .agg(F.collect_set(F.struct("start_pos", "end_pos")).alias("cuts"))
+    )
+    joined = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(cuts, ["doc_id", "text_hash"], "left")
+    return map_batches(joined, _Clean(), "doc_id bigint, n_removed int, cleaned string")
