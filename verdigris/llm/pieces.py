@@ -137,13 +137,13 @@ def cut_all(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> lis
 
 
 class _Cut:
-    def __init__(self, limit, overlap):
-        self.limit, self.overlap = limit, overlap
+    def __init__(self, limit, overlap, keep):
+        self.limit, self.overlap, self.keep = limit, overlap, keep
 
     def __call__(self, batch):
-        out: dict = {name.split()[0]: [] for name in SCHEMA.split(", ")}
+        out: dict = {name: [] for name in (*self.keep, *(c.split()[0] for c in SCHEMA.split(", ")))}
         texts = batch["text"]
-        for row, text, pieces in zip(batch["row_id"], texts, cut_all(texts, self.limit, self.overlap)):
+        for k, (row, text, pieces) in enumerate(zip(batch["row_id"], texts, cut_all(texts, self.limit, self.overlap))):
             unbroken = any(m.end() - m.start() > self.limit for m in _long.finditer(text))
             for number, (start, end, how) in enumerate(pieces, 1):
                 out["row_id"].append(row)
@@ -154,21 +154,25 @@ class _Cut:
                 out["cut"].append(how)
                 out["unbroken"].append(unbroken)
                 out["piece"].append(text[start:end])
+            for name in self.keep:
+                out[name] += [batch[name][k]] * len(pieces)
         return out
 
 
-def long_pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of the texts over the limit; ``texts`` has row_id and text. No shuffle.
+def long_pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keep: tuple = ()) -> DataFrame:
+    """Pieces of the texts over the limit; ``texts`` has row_id and text, and the columns to ``keep`` with each piece. No shuffle.
 
     Shorter texts never leave the JVM: the length test runs before Python.
     """
-    long = texts.where(F.length("text") > limit).select("row_id", "text")
-    return map_batches(long, _Cut(limit, overlap), SCHEMA)
+    long = texts.where(F.length("text") > limit).select(*keep, "row_id", "text")
+    kept = [f"`{name}` {texts.schema[name].dataType.simpleString()}" for name in keep]
+    return map_batches(long, _Cut(limit, overlap, keep), ", ".join([*kept, SCHEMA]))
 
 
-def all_pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def all_pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, keep: tuple = ()) -> DataFrame:
     """Pieces of every text; those within the limit pass whole."""
     short = texts.where(F.length("text") <= limit).select(
+        *keep,
         "row_id",
         F.lit(1).alias("piece_no"),
         F.lit(1).alias("n_pieces"),
@@ -178,4 +182,32 @@ def all_pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
         F.lit(False).alias("unbroken"),
         F.col("text").alias("piece"),
     )
-    return long_pieces(texts, limit, overlap).unionByName(short)
+    return long_pieces(texts, limit, overlap, keep).unionByName(short)
+
+
+def rejoined(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(row_id, n_pieces, within_limit, overlap_kept, content_hash): the pieces of each text put together again.
+
+    ``content_hash`` is the MD5 of the text that the pieces give without what
+    neighbours share, so it equals the text's own if they cover it in order.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece")))
+
+    def add(done, p):
+        return F.struct(F.concat(done["text"], F.substr(p["piece"], done["upto"] - p["start_pos"] + 1)).alias("text"), p["end_pos"].alias("upto"))
+
+    def neighbours(test):
+        return F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: (i == F.size("p")) | test(F.get("p", i - 1), F.get("p", i)))
+
+    whole = F.aggregate("p", F.struct(F.lit("").alias("text"), F.lit(0).alias("upto")), add, lambda done: done["text"])
+    return (
+        pieces.groupBy("row_id")
+        .agg(parts.alias("p"))
+        .select(
+            "row_id",
+            F.size("p").alias("n_pieces"),
+            F.forall("p", lambda x: (F.length(x["piece"]) <= limit) & (x["end_pos"] - x["start_pos"] == F.length(x["piece"]))).alias("within_limit"),
+            neighbours(lambda a, b: (b["start_pos"] <= a["end_pos"]) & (a["end_pos"] - b["start_pos"] <= overlap)).alias("overlap_kept"),
+            F.md5(whole.cast("binary")).alias("content_hash"),
+        )
+    )

@@ -9,9 +9,13 @@ from verdigris.llm import pieces
 from verdigris.sources.tables import table
 
 
+#: What says where a content stands; its pieces keep it.
+PLACE = ("article_number", "clause_number", "point")
+
+
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "scored_evidence").select(
-        F.col("evidence_row_id").alias("row_id"), F.col("content").alias("text")
+        F.col("evidence_row_id").alias("row_id"), F.col("content").alias("text"), *PLACE
     )
 
 
@@ -28,12 +32,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All pieces of all evidence."""
-    return pieces.all_pieces(_texts(spark, folder)).withColumnRenamed("row_id", "evidence_row_id")
+    """All pieces of all evidence, with the article, clause and point that they belong to."""
+    return pieces.all_pieces(_texts(spark, folder), keep=PLACE).withColumnRenamed("row_id", "evidence_row_id")
+
+
+def p5_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each content put together again: covers, limit and overlap."""
+    return pieces.rejoined(pieces.all_pieces(_texts(spark, folder))).drop("n_pieces").withColumnRenamed("row_id", "evidence_row_id")
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_pieces": p5_pieces}
+    return {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined}
 
 
 def oracle_sql() -> dict:
@@ -43,5 +52,9 @@ SELECT evidence_row_id,
        CASE WHEN regexp_matches(content, '[^\\s\\x{85}\\p{Z}]{1000}[^\\s\\x{85}\\p{Z}]{201}')
             THEN 'unbroken' ELSE 'plain' END AS kind
 FROM scored_evidence
-WHERE length(content) > 1200"""
+WHERE length(content) > 1200""",
+        "p5_rejoined": """
+SELECT evidence_row_id, true AS within_limit, true AS overlap_kept, md5(content) AS content_hash
+FROM scored_evidence
+WHERE content IS NOT NULL""",
     }
