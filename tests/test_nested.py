@@ -112,3 +112,17 @@ def test_amounts(spark):
     df = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(cases)], "i int, kind string, value string")
     got = [r.x for r in df.select("i", amount_vnd(F.col("kind"), F.col("value")).alias("x")).orderBy("i").collect()]
     assert got == [w for _, _, w in cases]
+
+
+def test_ancestors_that_nest_in_each_other(spark):
+    inner = {"issues": [{"retrieved_top_k": [{"chunk_id": "a"}]}]}
+    record = {"issues": [{}, {**inner, "retrieved_top_k": [{"chunk_id": "b"}]}], "retrieved_top_k": [{"chunk_id": "c"}]}
+    nodes = nested.interval_nodes(frame(spark, [record]), "raw_id", "payload", [HIT, ISSUE], within=ISSUE)
+    want = {"a": 1, "b": 2, "c": None}
+    assert {r.value: r.parent_pos for r in nodes.where(F.col("node_type") == HIT).collect()} == want
+    later = nested.place_within(nodes, ISSUE).where(F.col("node_type") == HIT)
+    assert {r.value: r.parent_pos or None for r in later.collect()} == want
+    joined = nested.contained_in(nested.node_table(nodes, HIT), nested.node_table(nodes, ISSUE)).collect()
+    assert {r.value: r.parent_pos for r in joined} == want
+    parents = {r.value: r.parent_pre for r in nodes.collect() if r.node_type == HIT}
+    assert parents == {r.value: r.parent_pre for r in joined}

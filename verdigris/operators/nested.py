@@ -3,7 +3,10 @@
 A depth-first walk numbers every node of a record: ``pre`` when it is entered,
 ``post`` (the last ``pre`` below it) when it is left. Node A encloses node B of
 the same record exactly when ``A.pre < B.pre <= A.post``, so any ancestor link
-is an interval containment and no path has to be carried along.
+is an interval containment and no path has to be carried along. While a record
+is walked, the intervals still open at a node are those that contain it: the
+innermost one is its parent, which each node carries as its key (``parent_pre``)
+and place. ``contained_in`` finds the same links between written tables.
 
 Defined results: a null, empty or incomplete JSON text gives no nodes; a text
 that is itself an encoded string is decoded up to ``DECODE`` times, wherever it
@@ -27,7 +30,8 @@ from verdigris.session import map_batches
 DECODE = 3
 
 NODE = (
-    "record_id bigint, node_type string, pre int, post int, level int, pos int, kind string, value string"
+    "record_id bigint, node_type string, pre int, post int, level int, pos int, kind string, value string, "
+    "parent_type string, parent_pre int, parent_pos int"
 )
 
 
@@ -76,14 +80,22 @@ def _kind(value) -> str:
 
 
 def label(record, wanted: frozenset) -> list:
-    """Interval-labelled nodes of one parsed record whose type is in ``wanted``.
+    """(type, pre, post, level, place, kind, value) of the nodes of one parsed record whose type is in ``wanted``."""
+    return [node[:7] for node in linked(record, wanted)]
+
+
+def linked(record, wanted: frozenset, within: str | None = None) -> list:
+    """``label``'s nodes, each with its parent's type, number and place.
+
+    The parent is the innermost open node of the wanted types, or of the type
+    ``within``; its type, number and place are null without one.
 
     The type of a member is its key; of an array element, the key of its array
     followed by ``[]``; of a member of such an element, both joined by a point
     (``issues[]``, ``retrieved_top_k[].chunk_id``). Places count from 1. An
     explicit stack keeps deep records from exhausting Python's.
     """
-    nodes, counter = [], 0
+    nodes, counter, opens = [], 0, []
     # (value, type, level, place, index of its open node or None while entering)
     stack = [(record, "", 0, 1, None)]
     while stack:
@@ -91,12 +103,17 @@ def label(record, wanted: frozenset) -> list:
         if opened is not None:
             if opened >= 0:
                 nodes[opened][2] = counter
+                if opens and opens[-1] == opened:
+                    opens.pop()
             continue
         counter += 1
         at = -1
         if kind in wanted:
             at = len(nodes)
-            nodes.append([kind, counter, counter, level, pos, _kind(value), _scalar(value)])
+            parent = nodes[opens[-1]] if opens else (None,) * 5
+            nodes.append([kind, counter, counter, level, pos, _kind(value), _scalar(value), parent[0], parent[1], parent[4]])
+            if isinstance(value, (dict, list)) and (within is None or kind == within):
+                opens.append(at)
         if not isinstance(value, (dict, list)):
             continue
         stack.append((None, kind, level, pos, at))
@@ -116,31 +133,27 @@ def label(record, wanted: frozenset) -> list:
 
 
 class _Label:
-    def __init__(self, wanted):
-        self.wanted = frozenset(wanted)
+    def __init__(self, wanted, within):
+        self.wanted, self.within = frozenset(wanted), within
 
     def __call__(self, batch):
-        out = {k: [] for k in ("record_id", "node_type", "pre", "post", "level", "pos", "kind", "value")}
+        names = [c.split()[0] for c in NODE.split(", ")]
+        out = {k: [] for k in names}
         for record_id, text in zip(batch["record_id"], batch["json"]):
             record = decode(text) if text else None
             if not isinstance(record, (dict, list)):
                 continue
-            for kind, pre, post, level, pos, form, value in label(record, self.wanted):
+            for node in linked(record, self.wanted, self.within):
                 out["record_id"].append(record_id)
-                out["node_type"].append(kind)
-                out["pre"].append(pre)
-                out["post"].append(post)
-                out["level"].append(level)
-                out["pos"].append(pos)
-                out["kind"].append(form)
-                out["value"].append(value)
+                for name, value in zip(names[1:], node):
+                    out[name].append(value)
         return out
 
 
-def interval_nodes(df: DataFrame, id_column: str, json_column: str, types: list[str]) -> DataFrame:
-    """One pass over the records; one row per node of the wanted types."""
+def interval_nodes(df: DataFrame, id_column: str, json_column: str, types: list[str], within: str | None = None) -> DataFrame:
+    """One pass over the records, without a shuffle; one row per node of the wanted types, with its parent's key and place."""
     records = df.select(F.col(id_column).cast("bigint").alias("record_id"), F.col(json_column).alias("json"))
-    return map_batches(records.where(F.col("json").isNotNull()), _Label(types), NODE)
+    return map_batches(records.where(F.col("json").isNotNull()), _Label(types, within), NODE)
 
 
 def node_table(nodes: DataFrame, node_type: str) -> DataFrame:
@@ -154,6 +167,7 @@ def contained_in(children: DataFrame, ancestors: DataFrame, prefix: str = "paren
     Works on written node tables, where ancestors may nest in one another.
     """
     a = ancestors.select(*[F.col(c).alias(prefix + c) for c in ancestors.columns])
+    children = children.drop(*a.columns)
     joined = children.join(
         a,
         (F.col("record_id") == F.col(f"{prefix}record_id"))
@@ -166,18 +180,12 @@ def contained_in(children: DataFrame, ancestors: DataFrame, prefix: str = "paren
 
 
 def place_within(nodes: DataFrame, ancestor_type: str) -> DataFrame:
-    """Adds ``parent_pos``: the place of the enclosing node of ``ancestor_type``, 0 without one.
+    """Written nodes with ``parent_pos``: the place of the innermost node of ``ancestor_type`` that contains them, 0 without one.
 
-    For ancestor types that don't nest in themselves the last one begun is the
-    only candidate, so one window over the record replaces a range join; the
-    containment test decides. All nodes of a record are at most one record's
-    size, and the records are spread by hash.
+    The nodes of a record meet in one window, which holds its ancestors; records
+    are spread by hash. ``interval_nodes`` links without a shuffle.
     """
     seen = Window.partitionBy("record_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    begun = F.when(F.col("node_type") == ancestor_type, F.struct("post", "pos"))
-    last = F.last(begun, ignorenulls=True).over(seen)
-    return (
-        nodes.withColumn("_last", last)
-        .withColumn("parent_pos", F.when(F.col("_last.post") >= F.col("pre"), F.col("_last.pos")).otherwise(F.lit(0)))
-        .drop("_last")
-    )
+    begun = F.collect_list(F.when(F.col("node_type") == ancestor_type, F.struct("post", "pos"))).over(seen)
+    around = F.filter(begun, lambda a: a["post"] >= F.col("pre"))
+    return nodes.withColumn("parent_pos", F.when(F.size(around) > 0, F.element_at(around, -1)["pos"]).otherwise(F.lit(0)))
