@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.session import map_batches
+
 
 def _accents() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and their base letters; made by rule from the Unicode tables."""
@@ -22,6 +24,8 @@ def _accents() -> tuple[str, str]:
 
 
 MARKED, BASE = _accents()
+#: The same in upper case.
+UPPER = tuple("".join(x) for x in zip(*{c.upper(): b.upper() for c, b in zip(MARKED, BASE) if len(c.upper()) == 1 and c.upper() not in MARKED}.items()))
 LETTERS = "a-zà-ỹđ"
 
 # The token pattern (document numbers, dotted numbers, percentages, words).
@@ -122,6 +126,37 @@ def read_only(query: Column) -> Column:
     return ~F.upper(query).rlike(r"(^|[^A-Z])(CREATE|MERGE|DELETE|SET|REMOVE|DROP|CALL|LOAD)([^A-Z]|$)")
 
 
+def stripped(text: Column) -> Column:
+    """Without accents, the case kept; composed and decomposed input give the same."""
+    return F.translate(F.regexp_replace(text, "[̀-ͯ]", ""), MARKED + UPPER[0], BASE + UPPER[1])
+
+
+def mapped(text: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """The text with the words of every rule whose phrase it holds, each word once, in the rules' order; null stays null."""
+    hits = F.array_compact(F.array(*[F.when(contains_any(text, phrases), F.lit(more)) for phrases, more in rules]))
+    words = F.array_distinct(F.filter(F.split(F.array_join(hits, " "), " "), lambda w: w != ""))
+    return F.when(F.size(words) > 0, F.trim(F.concat(text, F.lit(" "), F.array_join(words, " ")))).otherwise(text)
+
+
+def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The patterns replaced one after the other."""
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+class _Compose:
+    def __call__(self, batch):
+        return {"row_id": batch["row_id"], "text": [None if x is None else unicodedata.normalize("NFC", x) for x in batch["text"]]}
+
+
+def composed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_id, text) in NFC, which no built-in gives; texts of the basic range never leave the JVM."""
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
+    plain = F.coalesce(F.col("text").rlike("^[\\x00-\\x{2ff}]*$"), F.lit(True))
+    return rows.where(plain).unionByName(map_batches(rows.where(~plain), _Compose(), "row_id bigint, text string"))
+
+
 def file_size(size: Column) -> Column:
     """Bytes, kilobytes or megabytes with one decimal."""
     return (

@@ -40,10 +40,15 @@ def step(seeds: DataFrame, edges: DataFrame, direction: str = "out") -> DataFram
 
 
 def two_branches(nodes: DataFrame, node: str, first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per node the distinct incoming sources over two kinds of edge; none gives an empty list, not a list of nulls."""
-    pack = lambda e, name: e.groupBy(F.col("dst").alias(node)).agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias(name), F.count_distinct("src").alias(f"n_{name}"))
-    out = nodes.select(node).distinct().join(pack(first, "guides"), node, "left").join(pack(second, "penalties"), node, "left")
-    return out.na.fill("", ["guides", "penalties"]).na.fill(0, ["n_guides", "n_penalties"])
+    """(node, branch, src, n_branch): per node its distinct incoming sources over two kinds of edge, one row each, and their number.
+
+    A node without any has one row without a source. Nothing is collected, so a
+    node that everything names is as many rows as it has sources.
+    """
+    sides = [e.select(F.col("dst").alias(node), F.lit(name).alias("branch"), "src").distinct() for e, name in ((first, "guides"), (second, "penalties"))]
+    both = sides[0].unionByName(sides[1])
+    counts = both.groupBy(node, "branch").agg(F.count("*").alias("n_branch"))
+    return nodes.select(node).distinct().join(both.join(counts, [node, "branch"]), node, "left").na.fill(0, ["n_branch"])
 
 
 def expand_ranking(ranked: DataFrame, node: str, edges: DataFrame, members: DataFrame, decay: float = 0.9, per_node: int = 3, most: int = 6) -> DataFrame:
@@ -51,12 +56,15 @@ def expand_ranking(ranked: DataFrame, node: str, edges: DataFrame, members: Data
 
     ``ranked`` has (query, key, score, node) and ``members`` (key, node); a chunk
     already ranked isn't added, at most ``per_node`` come from one node and
-    ``most`` in all.
+    ``most`` in all. Of each node only so many members are joined as can be
+    wanted: ``per_node``, and as many more as the longest ranking may hold.
     """
     seeds = ranked.groupBy("query", F.col(node).alias("seed")).agg(F.max("score").alias("seed_score"))
     near = step(seeds, edges, "both")
     reached = seeds.join(near, "seed").groupBy("query", F.col("node").alias(node)).agg(F.max("seed_score").alias("seed_score"))
-    new = reached.join(members, node).join(ranked.select("query", "key"), ["query", "key"], "left_anti")
+    longest = ranked.groupBy("query").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    first = members.withColumn("_m", F.row_number().over(Window.partitionBy(node).orderBy("key"))).where(F.col("_m") <= per_node + longest).drop("_m")
+    new = reached.join(first, node).join(ranked.select("query", "key"), ["query", "key"], "left_anti")
     inside = Window.partitionBy("query", node).orderBy("key")
     overall = Window.partitionBy("query").orderBy(F.col("seed_score").desc(), node, "key")
     few = new.withColumn("_n", F.row_number().over(inside)).where(F.col("_n") <= per_node)

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import tokens
-from verdigris.session import map_batches, spread, written
+from verdigris.session import lasting_folder, map_batches, spread
+
 
-K1, B = 1.5, 0.75
+#: Chunks of a block of postings, and chunks that a bucket of terms is sized for.
+BLOCK, PER_BUCKET = 2048, 100_000
+#: The term under which every chunk with tokens stands.
+ALL = "\x00"
 
 
 class _Count:
@@ -20,6 +27,8 @@ class _Count:
         out: dict = {"key": [], "dl": [], "term": [], "tf": []}
         for key, words in zip(batch["key"], batch["words"]):
             counted = Counter(words)
+            if counted:
+                counted[ALL] = len(words)
             out["key"] += [key] * len(counted)
             out["dl"] += [len(words)] * len(counted)
             out["term"] += counted.keys()
@@ -28,35 +37,100 @@ class _Count:
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dl, term, tf): one row per chunk and term, made without a shuffle; keys are unique.
+    """(key, dl, term, tf): one row per chunk and term, made without a shuffle; keys are unique numbers.
 
     Tokens come from the JVM; only counting them is Python's. Chunks without
-    tokens have no postings.
+    tokens have no postings; each other one has a row for ``ALL`` with its length.
     """
-    words = chunks.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"))
-    kind = chunks.schema[key].dataType.simpleString()
-    return map_batches(words, _Count(), f"key {kind}, dl int, term string, tf bigint")
+    words = chunks.select(F.col(key).cast("bigint").alias("key"), tokens(F.col(text)).alias("words"))
+    return map_batches(words, _Count(), "key bigint, dl int, term string, tf bigint")
 
 
-class Index:
-    """Postings written once; statistics and rankings read them."""
+class _Pack:
+    """The postings of a term in a block of chunks as bytes, by ascending key."""
+
+    def __call__(self, batch):
+        out: dict = {"bucket": batch["bucket"], "term": batch["term"], "block": batch["block"], "n": [], "keys": [], "tfs": [], "dls": []}
+        for rows in batch["rows"]:
+            rows.sort(key=lambda r: r["key"])
+            out["n"].append(len(rows))
+            out["keys"].append(np.array([r["key"] for r in rows], np.int64).tobytes())
+            out["tfs"].append(np.array([r["tf"] for r in rows], np.int32).tobytes())
+            out["dls"].append(np.array([r["dl"] for r in rows], np.int32).tobytes())
+        return out
 
-    def __init__(self, chunks: DataFrame, key: str, text: str):
-        self.postings = written(postings(chunks, key, text))
 
-    def n_keys(self) -> Column:
-        """About how many chunks have postings."""
-        return self.postings.agg(F.approx_count_distinct("key")).scalar()
+PACKED = "bucket int, term string, block int, n int, keys binary, tfs binary, dls binary"
 
-    def statistics(self) -> DataFrame:
-        """One row: chunks with tokens (n) and their mean length (avgdl)."""
-        sizes = self.postings.groupBy("key").agg(F.sum("tf").alias("dl"))
-        return sizes.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
+def content_facts(chunks: DataFrame, key: str, text: str) -> str:
+    """Number and order-free sums of the chunks' hashes, digested: equal for equal chunks in any order."""
+    h = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+    row = chunks.select(h.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"))
+    return row.select(F.concat(F.col("n").cast("string"), F.lit("-"), F.sha2(F.concat_ws(":", "n", "s", "x"), 256))).first()[0]
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """(term, df) over the index; a frequent term is combined map-side."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+
+class Index:
+    """Packed postings that outlive the query, in buckets of terms.
+
+    The index of a set of chunks is named by their content, so it is built once
+    and later opened only while it is valid; a table of facts, written last, says
+    that it is whole. Queries read the buckets of their terms alone.
+    """
+
+    def __init__(self, chunks: DataFrame, key: str, text: str, folder: str | None = None):
+        self.spark = chunks.sparkSession
+        self.digest = content_facts(chunks, key, text)
+        n = int(self.digest.split("-")[0])
+        self.n_blocks = max(1, -(-n // BLOCK))
+        self.n_buckets = 16 << max(0, (n // PER_BUCKET // 16).bit_length())
+        self.path = f"{folder or lasting_folder(self.spark)}/verdigris-index/{self.digest}"
+        facts = self._facts()
+        if facts is None:
+            self._build(chunks, key, text)
+            facts = self._facts()
+        self.n, self.total = facts
+        self.avgdl = self.total / self.n if self.n else 0.0
+
+    def _facts(self):
+        try:
+            row = self.spark.read.schema("n bigint, total bigint").json(f"{self.path}/facts").first()
+        except AnalysisException:
+            return None
+        return None if row is None else (row.n or 0, row.total or 0)
+
+    def _build(self, chunks, key, text):
+        rows = postings(chunks, key, text).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int"))
+        grouped = rows.groupBy("term", "block").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("rows"))
+        packed = map_batches(grouped.select(self.bucket("term").alias("bucket"), "term", "block", "rows"), _Pack(), PACKED)
+        spread_out = packed.repartition("bucket").sortWithinPartitions("bucket", "term", "block")
+        spread_out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        whole = self.packed.where(F.col("term") == ALL).select("n", "tfs")
+        sums = map_batches(whole, _Sums(), "n bigint, total bigint").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        sums.coalesce(1).write.mode("overwrite").json(f"{self.path}/facts")
+
+    def bucket(self, term) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.n_buckets)).cast("int")
+
+    @property
+    def packed(self) -> DataFrame:
+        schema = PACKED.replace("bucket int, ", "") + ", bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """The packed postings of the terms; only their buckets are read."""
+        terms = terms.select("term").distinct()
+        buckets = [row[0] for row in terms.select(self.bucket("term")).distinct().collect()]  # at most n_buckets numbers
+        return self.packed.where(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi")
+
+    def term_statistics(self) -> DataFrame:
+        """(term, df) of all terms."""
+        return self.packed.where(F.col("term") != ALL).groupBy("term").agg(F.sum("n").alias("df"))
+
+
+class _Sums:
+    def __call__(self, batch):
+        return {"n": batch["n"], "total": [int(np.frombuffer(t, np.int32).sum(dtype=np.int64)) for t in batch["tfs"]]}
 
 
 def corpus_statistics(chunks: DataFrame, text: str) -> DataFrame:
@@ -65,13 +139,6 @@ def corpus_statistics(chunks: DataFrame, text: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def bm25_term(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
-    """One term's score in whole 1e-8, so that sums don't depend on their order."""
-    idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-    weight = tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
-    return F.round(idf * weight, 8).cast("decimal(18,8)")
-
-
 def fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, digest of the columns), null-safe and unambiguous in what belongs to which column."""
     parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
@@ -102,3 +169,26 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key by the order's columns; a tie keeps the greatest. Aggregated, not windowed, so hot keys combine map-side."""
     packed = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order)).alias("_row"))
     return packed.select("_row.*")
+
+
+def apply_changes(old: DataFrame, new: DataFrame, key: str, text: str, meta: list[str]) -> DataFrame:
+    """The old generation brought up to the new one by its changes alone: gone rows go, added and changed ones come from the new.
+
+    Rows that are the same are kept from the old, so whatever was made of them
+    stays valid; ``kept`` says so.
+    """
+    what = changes(old, new, key, text, meta)
+    columns = [key, text, *meta]
+    kept = old.select(*columns).join(what.where("change = 'same'").select(key), key, "left_semi").withColumn("kept", F.lit(True))
+    fresh = new.select(*columns).join(what.where("change IN ('added', 'text', 'metadata')").select(key), key, "left_semi").withColumn("kept", F.lit(False))
+    return kept.unionByName(fresh)
+
+
+def validity(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
+    """One row: the counts of both sides and whether an index of the old still holds for the new."""
+    facts = lambda df, name: df.select(F.xxhash64(F.col(key), F.col(text)).alias("h")).agg(
+        F.count("*").alias(f"n_{name}"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias(f"s_{name}"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias(f"x_{name}")
+    )
+    sides = facts(old, "old").select(F.struct("*").alias("o"), F.lit(1).alias("one")).join(facts(new, "new").select(F.struct("*").alias("w"), F.lit(1).alias("one")), "one")
+    same = (F.col("o.n_old") == F.col("w.n_new")) & (F.col("o.s_old") == F.col("w.s_new")) & (F.col("o.x_old") == F.col("w.x_new"))
+    return sides.select("o.n_old", "w.n_new", same.alias("is_valid"))

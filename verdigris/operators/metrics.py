@@ -34,6 +34,34 @@ def by_type(scores: DataFrame, kind: str) -> DataFrame:
     return grouped.withColumn(kind, F.when(F.col("_all") == 1, F.lit("ALL")).otherwise(F.col(kind))).drop("_all")
 
 
+def recall_by(gold: DataFrame, held: DataFrame, kind: str) -> DataFrame:
+    """(kind, n, recall_5, recall_10, chunk_recall_5, chunk_recall_10): mean shares of each query's gold that its ranking holds.
+
+    ``gold`` has (query, kind, gold array of chunk ids), ``held`` (query, rank,
+    chunk_id). A chunk is held if it or a part of it (its id with ``-`` and more)
+    is ranked; an article, told by the id up to its number, if any chunk of it is.
+    """
+    article = lambda c: F.regexp_extract(c, r"^[^#]+#d\d+", 0)
+    mine = lambda k: F.coalesce(F.collect_list(F.when(F.col("rank") <= k, F.col("chunk_id"))), F.array().cast("array<string>"))
+    tops = held.groupBy("query").agg(mine(5).alias("top_5"), mine(10).alias("top_10"))
+    both = gold.join(tops, "query", "left")
+
+    def top(k):
+        return F.coalesce(F.col(f"top_{k}"), F.array().cast("array<string>"))
+
+    def of_articles(k):
+        articles = F.array_distinct(F.transform("gold", article))
+        found = F.filter(articles, lambda a: (a != "") & F.exists(top(k), lambda c: article(c) == a))
+        return F.round(F.avg(F.size(found) / F.size(articles)), 6).alias(f"recall_{k}")
+
+    def of_chunks(k):
+        found = F.filter("gold", lambda g: F.exists(top(k), lambda c: (c == g) | c.startswith(F.concat(g, F.lit("-")))))
+        return F.round(F.avg(F.size(found) / F.size("gold")), 6).alias(f"chunk_recall_{k}")
+
+    out = [F.count("*").alias("n"), of_articles(5), of_articles(10), of_chunks(5), of_chunks(10)]
+    return both.groupBy(kind).agg(*out)
+
+
 def order_statistic(df: DataFrame, group: str, value: str, share: float, out: str, buckets: int = 1024) -> DataFrame:
     """(group, out): the value at place floor(n * share) of the group's sorted values, counted from 0.
 

@@ -107,25 +107,31 @@ def cleaned(df: DataFrame, key: str, noise: str) -> DataFrame:
     return tidy.withColumn("_before", F.lag("line").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("line"))).drop("_before")
 
 
+# What begins a line of its own, and what ends one.
+FRESH = r"^\s*(?:$|[-•*]\s|\d+[.)]\s|[a-zđ]\)\s|Điều\s|Chương\s|Mục\s|Phần\s|PHỤ LỤC)"
+ENDED = r"(?:[.!?:;…”\"]|^)\s*$"
+
+
 def unwrapped(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Broken lines of running text joined again, by a fold over each text's lines.
+    """Broken lines of running text joined again, row by row and without a shuffle.
 
     A line goes on in the next unless it ends a sentence, a heading or a list
-    item, or the next begins one.
+    item, or the next begins one. The places where lines begin are found first,
+    then each stretch of lines is joined once.
     """
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    fresh = r"^\s*(?:$|[-•*]\s|\d+[.)]\s|[a-zđ]\)\s|Điều\s|Chương\s|Mục\s|Phần\s|PHỤ LỤC)"
-    ended = r"(?:[.!?:;…”\"]|^)\s*$"
-
-    def join(acc, line):
-        stay = F.element_at(acc, -1).rlike(ended) | line.rlike(fresh)
-        glued = F.concat(F.rtrim(F.element_at(acc, -1)), F.lit(" "), F.ltrim(line))
-        return F.when(F.size(acc) == 0, F.array(line)).when(stay, F.concat(acc, F.array(line))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(glued))
-        )
-
-    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(join(acc, x)))
-    return df.select(key, F.array_join(folded, "\n").alias("text"), F.size(parts).alias("n_before"), F.size(folded).alias("n_after"))
+    split = df.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_parts"))
+    place = F.sequence(F.lit(0), F.size("_parts") - 1)
+    begins = F.filter(place, lambda i: (i == 0) | F.get("_parts", i - 1).rlike(ENDED) | F.get("_parts", i).rlike(FRESH))
+    placed = split.select(key, "_parts", begins.alias("_begins"))
+
+    def joined(start, k):
+        stretch = F.slice("_parts", start + 1, F.coalesce(F.get("_begins", k + 1), F.size("_parts")) - start)
+        last = F.size(stretch) - 1
+        bare = F.transform(stretch, lambda line, i: F.when(i == 0, line).otherwise(F.ltrim(line)))
+        return F.array_join(F.transform(bare, lambda line, i: F.when(i == last, line).otherwise(F.rtrim(line))), " ")
+
+    whole = F.array_join(F.transform("_begins", joined), "\n")
+    return placed.select(key, whole.alias("text"), F.size("_parts").alias("n_before"), F.size("_begins").alias("n_after"))
 
 
 def quality(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -21,18 +21,26 @@ def sessions(df: DataFrame, ts: str, gap_minutes: int, key: str) -> DataFrame:
     return grouped.agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("n")).select(key, "start", "last", "n")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, tie: str, span: str = "day") -> DataFrame:
     """Left rows with the right side's last value at or before their time.
 
-    Both sides are one sorted stream per key: a union and one window instead of
-    a range join, so the work is linear. At equal times the right side counts
-    as before. Left rows without a value before them get null.
+    Both sides are one sorted stream per key and span of time: a union and one
+    window instead of a range join, so the work is linear, and a frequent key is
+    spread over its spans. A row without a value in its own span takes the last
+    one of the spans before. At equal times the right side counts as before.
+    Left rows without a value before them, or without a time, get null.
     """
     columns = [c for c in left.columns]
+    bucket = F.date_trunc(span, F.col(ts))
     l = left.select(*columns, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_left"))  # noqa: E741
-    r = right.select(
+    r = right.where(F.col(ts).isNotNull()).select(
         *[F.col(c) if c in (key, ts, tie) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in columns], F.col(value).alias("_v"), F.lit(0).alias("_left")
     )
-    w = Window.partitionBy(key).orderBy(ts, "_left", tie).rowsBetween(Window.unboundedPreceding, 0)
-    filled = l.unionByName(r).withColumn("as_of", F.last("_v", ignorenulls=True).over(w))
-    return filled.where("_left = 1").drop("_v", "_left")
+    both = l.unionByName(r).withColumn("_span", bucket)
+    near = Window.partitionBy(key, "_span").orderBy(ts, "_left", tie).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_near", F.last("_v", ignorenulls=True).over(near)).where("_left = 1")
+    spans = both.groupBy(key, "_span").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(ts, tie))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).select(F.col(key).alias("_key"), F.col("_span").alias("_at"), "_carried")
+    joined = filled.join(carried, filled[key].eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_at")), "left")
+    return joined.withColumn("as_of", F.when(F.col(ts).isNotNull(), F.coalesce("_near", "_carried"))).select(*columns, "as_of")

@@ -68,12 +68,14 @@ def a_claimable(spark: SparkSession, d: str) -> DataFrame:
     return jobs.where(admin.claimable("status", "ts", now)).groupBy("status").agg(F.count("*").alias("n"), F.min("event_id").alias("first_job"))
 
 
+AUDITED = ["article_title", "source_role", "rule_type", "legal_event"]
+
+
 def a_audit_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Cell by cell what changed between a case's first and last run."""
-    c = table(spark, d, "phase5_7_cases_results")
-    columns = ["strategy", "retrieval_method", "abstain", "needs_clarification"]
-    pick = lambda f: c.groupBy("case_id").agg(f(F.struct(*columns), F.struct("run_at", "case_row_id")).alias("r")).select("case_id", "r.*")
-    return admin.audit(pick(F.min_by), pick(F.max_by), "case_id", columns)
+    """Cell by cell what changed between index generations 1 and 2: chunks that came, went or hold something else."""
+    latest = index.latest(table(spark, d, "scored_evidence"), ["chunk_id", "index_version"], ["ingested_at", "evidence_row_id"])
+    of = lambda v: latest.where(F.col("index_version") == v).select("chunk_id", *AUDITED)
+    return admin.audit(of(1), of(2), "chunk_id", AUDITED)
 
 
 def a_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -211,10 +213,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     zone = "Asia/Ho_Chi_Minh"
     key = lambda c: f"trim(regexp_replace({t.sql_fold(c)}, '[^a-z0-9]+', ' ', 'g'))"
-    cols = ["strategy", "retrieval_method", "abstain", "needs_clarification"]
-    cells = " UNION ALL ".join(
-        f"SELECT case_id, 'update' AS action, '{c}' AS \"column\", a.{c}::VARCHAR AS before, b.{c}::VARCHAR AS after FROM a JOIN b USING (case_id) WHERE a.{c} IS DISTINCT FROM b.{c}" for c in cols
-    )
     return {
         "a_daily": """SELECT s.day::DATE AS day, count(event_id) AS n FROM generate_series(DATE '2023-12-28', DATE '2024-02-05', INTERVAL 1 DAY) s(day)
  LEFT JOIN (SELECT ts::DATE AS day, event_id FROM events WHERE event_type = 'error') e ON e.day = s.day::DATE GROUP BY s.day""",
@@ -229,8 +227,11 @@ def oracle_sql() -> dict:
         "a_owned": "SELECT turn_row_id, owner_id, conv_id FROM turns WHERE owner_id = 'u0000001' AND owner_id IN (SELECT owner_id FROM feedback)",
         "a_claimable": """SELECT CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, count(*) AS n, min(event_id) AS first_job FROM events
  WHERE event_type IN ('signup', 'error') OR event_type = 'click' AND ts < TIMESTAMP '2024-01-15 11:50:00' GROUP BY 1""",
-        "a_audit_rows": f"""WITH a AS (SELECT * FROM phase5_7_cases_results QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY run_at, case_row_id) = 1),
-b AS (SELECT * FROM phase5_7_cases_results QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY run_at DESC, case_row_id DESC) = 1) {cells}""",
+        "a_audit_rows": "WITH l AS (SELECT * FROM scored_evidence QUALIFY row_number() OVER (PARTITION BY chunk_id, index_version ORDER BY ingested_at DESC NULLS LAST, evidence_row_id DESC) = 1), a AS (FROM l WHERE index_version = 1), b AS (FROM l WHERE index_version = 2), "
+        + "j AS (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, CASE WHEN a.chunk_id IS NULL THEN 'insert' WHEN b.chunk_id IS NULL THEN 'delete' ELSE 'update' END AS action, "
+        + ", ".join(f"a.{c}::VARCHAR AS a_{c}, b.{c}::VARCHAR AS b_{c}" for c in AUDITED)
+        + " FROM a FULL JOIN b ON a.chunk_id = b.chunk_id) "
+        + " UNION ALL ".join(f"SELECT chunk_id, action, '{c}' AS \"column\", a_{c} AS before, b_{c} AS after FROM j WHERE a_{c} IS DISTINCT FROM b_{c}" for c in AUDITED),
         "a_violations": " UNION ALL ".join(
             f"SELECT feedback_row_id, '{n}' AS violation FROM feedback WHERE NOT coalesce({c}, false)"
             for n, c in {

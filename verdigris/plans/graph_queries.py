@@ -78,11 +78,9 @@ edges AS (SELECT src, dst, count(*) AS n_mentions FROM x WHERE src IS NOT NULL A
         "g_known_edges": f"WITH {edges} SELECT * FROM edges WHERE dst IN (SELECT document_no FROM scored_evidence)",
         "g_degrees": f"""WITH {edges}, e AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
 SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM e GROUP BY node""",
-        "g_neighbours": f"WITH {edges}, {both} SELECT DISTINCT seed, node FROM both_ways WHERE seed IN (SELECT document_no FROM legal_documents WHERE document_no LIKE '%7/%') AND seed <> node",
-        "g_branches": f"""WITH {edges}, gd AS (SELECT dst, string_agg(DISTINCT src, ',' ORDER BY src) AS guides, count(DISTINCT src) AS n_guides FROM edges WHERE src LIKE '%NĐ-CP' GROUP BY dst),
-pn AS (SELECT dst, string_agg(DISTINCT src, ',' ORDER BY src) AS penalties, count(DISTINCT src) AS n_penalties FROM edges WHERE src LIKE '%/TT-%' GROUP BY dst)
-SELECT DISTINCT l.document_no, coalesce(guides, '') AS guides, coalesce(n_guides, 0) AS n_guides, coalesce(penalties, '') AS penalties, coalesce(n_penalties, 0) AS n_penalties
- FROM legal_documents l LEFT JOIN gd ON gd.dst = l.document_no LEFT JOIN pn ON pn.dst = l.document_no""",
+        "g_neighbours": f"WITH {edges}, {both} SELECT DISTINCT seed, node FROM both_ways WHERE seed IN (SELECT document_no FROM legal_documents) AND seed <> node",
+        "g_branches": f"""WITH {edges}, b AS (SELECT DISTINCT dst, 'guides' AS branch, src FROM edges WHERE src LIKE '%NĐ-CP' UNION ALL SELECT DISTINCT dst, 'penalties', src FROM edges WHERE src LIKE '%/TT-%')
+SELECT document_no, branch, src, CASE WHEN src IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY document_no, branch) END AS n_branch FROM (SELECT DISTINCT document_no FROM legal_documents) l LEFT JOIN b ON b.dst = l.document_no""",
         "g_lineage": "SELECT evidence_row_id, concat_ws(' > ', document_no, trim(article_number), clause_number::VARCHAR, point) AS lineage FROM scored_evidence WHERE point <> ''",
         "g_expanded": f"""WITH {bm}, {edges}, {both}, rk AS (SELECT query, key, score, document_no FROM bmr JOIN scored_evidence ON evidence_row_id = key WHERE rank <= 8),
 sd AS (SELECT query, document_no AS seed, max(score) AS seed_score FROM rk GROUP BY ALL),

@@ -195,14 +195,18 @@ SELECT conv_id, f.key AS fact, f.value AS value FROM e WHERE f.value IS NOT NULL
  WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no, turn_row_id)""",
         "h_followups": f"""WITH x AS (SELECT turn_row_id, turn_no, {q} AS q FROM turns)
 SELECT turn_row_id, turn_no > 1 AND (len(string_split(q, ' ')) <= 8 OR regexp_matches(lower(q), '^(vậy|thế|còn|nếu vậy|em|what about|and)([ ,]|$)') AND len(string_split(q, ' ')) <= 40) AS is_followup FROM x""",
-        "h_cache": f"""WITH x AS (SELECT turn_row_id, created_at, sha256({key}) AS cache_key FROM turns)
-SELECT turn_row_id, cache_key, coalesce(created_at - lag(created_at) OVER (PARTITION BY cache_key ORDER BY created_at, turn_row_id) <= INTERVAL 6 HOUR, false) AS hit FROM x""",
+        "h_cache": f"""WITH RECURSIVE x AS (SELECT turn_row_id, created_at, sha256({key}) AS cache_key, row_number() OVER (PARTITION BY sha256({key}) ORDER BY created_at, turn_row_id) AS rn FROM turns WHERE created_at IS NOT NULL),
+s AS (SELECT turn_row_id, cache_key, rn, created_at AS stored, false AS hit FROM x WHERE rn = 1
+ UNION ALL SELECT x.turn_row_id, x.cache_key, x.rn, CASE WHEN x.created_at - s.stored <= INTERVAL 6 HOUR THEN s.stored ELSE x.created_at END, x.created_at - s.stored <= INTERVAL 6 HOUR FROM s JOIN x ON x.cache_key = s.cache_key AND x.rn = s.rn + 1)
+SELECT turn_row_id, cache_key, hit FROM s UNION ALL SELECT turn_row_id, sha256({key}), false FROM turns WHERE created_at IS NULL""",
         "h_cache_kept": f"SELECT sha256({key}) AS cache_key, max(created_at) AS last_used, count(*) AS n_uses FROM turns GROUP BY 1 ORDER BY last_used DESC, cache_key LIMIT 256",
         "h_snapshots": f"""WITH o AS (SELECT * FROM phase5_7_cases_results WHERE run_at < TIMESTAMP '2031-07-01' {last}), n AS (SELECT * FROM phase5_7_cases_results {last})
 SELECT coalesce(o.case_id, n.case_id) AS case_id, CASE WHEN o.case_id IS NULL THEN 'added' WHEN n.case_id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.case_id = n.case_id
  WHERE (o.strategy, o.retrieval_method, o.is_fully_grounded, o.run_at) IS DISTINCT FROM (n.strategy, n.retrieval_method, n.is_fully_grounded, n.run_at)""",
         "h_export": """WITH x AS (SELECT conv_id, string_agg('## ' || coalesce(user_query, '') || chr(10) || coalesce(assistant_response, ''), chr(10) || chr(10) ORDER BY turn_no, turn_row_id) AS text FROM turns GROUP BY conv_id)
 SELECT conv_id, md5(text) AS text_md5, length(text)::INT AS n_chars FROM x""",
+        "l_chat": f"""WITH x AS (SELECT case_row_id, query, CASE WHEN expected_topic IS NOT NULL AND NOT contains(full_answer, expected_topic) THEN full_answer || chr(10) || chr(10) || 'Nguồn: ' || expected_topic ELSE full_answer END AS said FROM phase5_7_cases_results WHERE full_answer IS NOT NULL)
+SELECT case_row_id, md5(to_json({{'messages': [{{'role': 'system', 'content': '{SYSTEM}'}}, {{'role': 'user', 'content': query}}, {{'role': 'assistant', 'content': said}}]}})::VARCHAR) AS record_md5 FROM x""",
         "l_split": """SELECT row_id, CASE WHEN ('0x' || substr(md5(question_id || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE THEN 'val' ELSE 'train' END AS split FROM phase5b_eval_dataset""",
         "l_merge": """SELECT row_id, question_id FROM phase5b_eval_dataset WHERE row_id % 3 <> 0 OR question_id NOT IN (SELECT question_id FROM phase5b_eval_dataset WHERE row_id % 3 <> 0)""",
         "l_sub_questions": """WITH x AS (SELECT turn_row_id, trim(user_query, ' ') AS q, list_filter(list_transform(regexp_split_to_array(user_query, '[?\\n]'), lambda p: trim(p, ' ')), lambda p: length(p) >= 20) AS p FROM turns WHERE user_query IS NOT NULL),

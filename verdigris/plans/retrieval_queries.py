@@ -6,9 +6,12 @@ question whose row id is divisible by 50, ranked against all rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.functions import encode
 from verdigris.functions import text as t
 from verdigris.operators import index, metrics, retrieve
 from verdigris.sources.tables import table
@@ -40,6 +43,13 @@ def _bm25(spark, d, k=10):
     return retrieve.bm25(questions(spark, d), _index(spark, d), k)
 
 
+def _dense(spark, d, k=10, every=EVERY):
+    """The ranking by cosine of hashed token vectors; scores from 0 to 1."""
+    q = encode.encoded(questions(spark, d, every), "query", "text").select(F.col("key").alias("query"), "vector")
+    near = retrieve.cosine_top_k(q, encode.encoded(chunks(spark, d), "evidence_row_id", "content"), k)
+    return near.withColumn("score", F.greatest("score", F.lit(0.0)))
+
+
 def _both(spark, d, k=10):
     """Both rankings from one index."""
     made, q = _index(spark, d), questions(spark, d)
@@ -83,13 +93,86 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.by_type(metrics.per_query(gold, ranked, scorable=F.col("expected_doc_id").isNotNull()), "query_type")
 
 
+def dense_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 and the dense ranking fused, as deep candidates as ``rrf_hybrid`` takes."""
+    depth = _depth(10)
+    fused = retrieve.fuse(_bm25(spark, d, depth), _dense(spark, d, depth), 10)
+    return fused.select("query", F.col("key").alias("evidence_row_id"), "rank", "score", "rank_a", "rank_b")
+
+
+def one_arm(spark: SparkSession, d: str) -> DataFrame:
+    """The fused ranking while the dense arm is out of reach: BM25 alone keeps its order."""
+    fused = retrieve.fuse_available([_bm25(spark, d, _depth(10)), None], 10)
+    return fused.select("query", F.col("key").alias("evidence_row_id"), "rank", "score")
+
+
+def dense_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """``retrieval_metrics`` of the ranking with the dense arm."""
+    q = table(spark, d, "phase5b_eval_dataset").where(F.col("row_id") % EVERY == 0)
+    gold = q.select(F.col("row_id").alias("query"), "query_type", "expected_doc_id", "expected_article")
+    hit = dense_hybrid(spark, d).join(chunks(spark, d).select("evidence_row_id", "document_no", "article_number"), "evidence_row_id")
+    relevant = metrics.relevant("document_no", "article_number", "expected_doc_id", "expected_article")
+    ranked = hit.join(gold, "query").select("query", "rank", relevant.alias("relevant"))
+    return metrics.by_type(metrics.per_query(gold, ranked, scorable=F.col("expected_doc_id").isNotNull()), "query_type")
+
+
+def case_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of what a case cites, the share that the BM25 ranking of its query holds at 5 and 10: chunks, and different articles."""
+    c = table(spark, d, "phase5_7_cases_results").where(F.col("case_row_id") % EVERY == 0)
+    gold = c.select(F.col("case_row_id").alias("query"), "retrieval_method", F.array_distinct(F.array_compact("cited_chunk_ids")).alias("gold")).where("size(gold) > 0")
+    ranked = retrieve.bm25(c.select(F.col("case_row_id").alias("query"), F.col("query").alias("text")), _index(spark, d), 10)
+    held = ranked.join(chunks(spark, d).select(F.col("evidence_row_id").alias("key"), "chunk_id"), "key").select("query", "rank", "chunk_id")
+    return metrics.recall_by(gold, held, "retrieval_method")
+
+
+def document_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Of the fused top 50, chunks of the document a question names come first, in their old order; 10 are kept."""
+    named = questions(spark, d).select("query", F.lower(F.regexp_extract("text", DOCUMENT, 1)).alias("named"))
+    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), F.lower("document_no").alias("document"))
+    ranked = _fused(spark, d, 50).join(facts, "key").join(named, "query")
+    bucket = F.when((F.col("named") != "") & F.col("document").startswith(F.col("named")), 0).otherwise(1)
+    return retrieve.reorder(ranked, bucket, 10).select("query", F.col("key").alias("evidence_row_id"), "rank", "new_rank")
+
+
+def three_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Framework law first, then guidance, penalties last with the newer index generation before the older."""
+    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), "source_role", "index_version")
+    ranked = _bm25(spark, d, 50).join(facts, "key")
+    bucket = F.when(F.col("source_role") == "FRAMEWORK_LAW", 0).when(F.col("source_role") == "PENALTY", 2).otherwise(1)
+    newer = F.when(F.col("source_role") == "PENALTY", -F.col("index_version")).otherwise(0)
+    out = retrieve.reorder(ranked.withColumn("bucket", bucket), F.struct("bucket", newer), 10)
+    return out.select("query", F.col("key").alias("evidence_row_id"), "bucket", "rank", "new_rank")
+
+
+def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours among the vectors of one label only."""
+    v = table(spark, d, "embeddings")
+    q = v.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    near = retrieve.cosine_top_k(q, v.where("label = 3").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), 5)
+    return near.select("query", F.col("key").alias("vec_id"), "rank", F.round("score", 4).alias("cosine"))
+
+
+def index_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an index of each generation still holds for the newest one."""
+    latest = index.latest(chunks(spark, d), ["chunk_id", "index_version"], ["ingested_at", "evidence_row_id"])
+    of = lambda v: latest.where(F.col("index_version") == v)
+    return reduce(DataFrame.unionByName, [index.validity(of(v), of(4), "chunk_id", "content").withColumn("index_version", F.lit(v)) for v in (1, 2, 3, 4)])
+
+
+def index_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Generation 1 brought to generation 2 by its changes: rows that come out, and whether they had to be made anew."""
+    latest = index.latest(chunks(spark, d), ["chunk_id", "index_version"], ["ingested_at", "evidence_row_id"])
+    of = lambda v: latest.where(F.col("index_version") == v)
+    return index.apply_changes(of(1), of(2), "chunk_id", "content", META).select("chunk_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), *META, "kept")
+
+
 def demoted(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of documents that aren't valid any more go down, unless the question asks about the past."""
-    registry = table(spark, d, "legal_documents").select("doc_id", "validity").dropDuplicates(["doc_id"])
-    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), "doc_id").join(registry, "doc_id", "left").select("key", "validity")
+    """Chunks of repealed documents go down, unless the question asks about the past."""
+    registry = table(spark, d, "legal_documents").groupBy("doc_id").agg(F.max(F.col("validity") == "REPEALED").alias("repealed"))
+    facts = chunks(spark, d).select(F.col("evidence_row_id").alias("key"), "doc_id").join(registry, "doc_id", "left").select("key", "repealed")
     asks = questions(spark, d).select("query", t.contains_any(F.col("text"), HISTORICAL).alias("historical"))
     ranked = _bm25(spark, d).join(facts, "key").join(asks, "query")
-    out = retrieve.demote(ranked, F.coalesce(F.col("validity") != "valid", F.lit(True)) & ~F.col("historical"))
+    out = retrieve.demote(ranked, F.coalesce("repealed", F.lit(False)) & ~F.col("historical"))
     return out.select("query", F.col("key").alias("evidence_row_id"), "rank", "new_rank", "new_score")
 
 
@@ -135,8 +218,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def term_idf(spark: SparkSession, d: str) -> DataFrame:
     made = _index(spark, d)
-    n = made.statistics().select("n").scalar()
-    df = index.term_statistics(made.postings)
+    df, n = made.term_statistics(), F.lit(made.n)
     return df.select("term", "df", F.round(F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -188,6 +270,7 @@ def near_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     names = """bm25_topk overlap_topk rrf_hybrid retrieval_metrics demoted exact_reference first_seen_union dense_topk dense_accuracy corpus_stats
+    dense_hybrid one_arm dense_metrics case_recall document_lookup three_ways dense_filtered index_validity index_applied
     term_idf chunk_fingerprints generation_changes coverage duplicate_keys parent_clauses near_questions""".split()
     return {name: globals()[name] for name in names}
 
@@ -208,10 +291,33 @@ cd AS (SELECT evidence_row_id AS key, unnest(list_distinct({t.sql_tokens('conten
 qx AS (SELECT query, len(words) AS nw, unnest(words) AS term FROM qd),
 ov AS (SELECT query, key, round(count(*) / any_value(nw), 6) AS score FROM qx JOIN cd USING (term) GROUP BY query, key),
 ovr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM ov)"""
-    fu = f"""{bm}, {ov}, fu AS (SELECT query, key, a.rank AS rank_a, b.rank AS rank_b,
+    def fused(second: str, k: int) -> str:
+        """Reciprocal ranks of the BM25 ranking and another, each with four candidates for every rank of the result, 20 at least."""
+        depth = max(4 * k, 20)
+        return f"""fu AS (SELECT query, key, a.rank AS rank_a, b.rank AS rank_b,
  round(coalesce(1.0::DOUBLE / (60 + a.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0), 10) AS score
- FROM (FROM bmr WHERE rank <= 20) a FULL JOIN (FROM ovr WHERE rank <= 20) b USING (query, key)),
+ FROM (FROM bmr WHERE rank <= {depth}) a FULL JOIN (FROM {second} WHERE rank <= {depth}) b USING (query, key)),
 fur AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank_a NULLS LAST, rank_b NULLS LAST, key)::INT AS rank FROM fu)"""
+
+    fu = f"{bm}, {ov}, {fused('ovr', 10)}"
+    hashed = lambda name, key, text, source: f"""{name}h AS (SELECT key, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM (SELECT {key} AS key, unnest({t.sql_tokens(text)}) AS term FROM {source})),
+{name}s AS (SELECT key, h % 64 AS j, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS v FROM {name}h GROUP BY ALL),
+{name}n AS (SELECT key, sqrt(sum(v * v)::DOUBLE) AS norm FROM {name}s GROUP BY key HAVING sum(v * v) > 0)"""
+    de = f"""{hashed('qe', 'query', 'text', 'q')}, {hashed('ce', 'evidence_row_id', 'content', 'scored_evidence')},
+dot AS (SELECT x.key AS query, y.key AS key, sum(x.v * y.v)::DOUBLE AS d FROM qes x JOIN ces y ON x.j = y.j GROUP BY ALL),
+cos AS (SELECT qn.key AS query, cn.key AS key, greatest(round(coalesce(d, 0.0) / (qn.norm * cn.norm), 6), 0.0) AS score, round(coalesce(d, 0.0) / (qn.norm * cn.norm), 6) AS raw
+ FROM qen qn CROSS JOIN cen cn LEFT JOIN dot ON dot.query = qn.key AND dot.key = cn.key),
+der AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY raw DESC, key)::INT AS rank FROM cos)"""
+    dfu = f"{bm}, {de}, {fused('der', 10)}"
+    document = "(?i)(?:^|[^0-9/])([0-9]{1,4}/(?:[0-9]{4}(?:/[0-9a-zđ]+(?:-[a-zđ]+)*)?|[a-zđ]+(?:-[a-zđ]+)*))"
+    metric = lambda ranked: f"""g AS (SELECT row_id AS query, query_type, expected_doc_id, expected_article FROM phase5b_eval_dataset WHERE row_id % 50 = 0),
+r AS (SELECT g.query, rank, coalesce(document_no = expected_doc_id AND (expected_article IS NULL OR try_cast(trim(article_number) AS INT) = expected_article), false) AS rel
+ FROM {ranked} JOIN scored_evidence e ON e.evidence_row_id = {ranked}.key JOIN g ON g.query = {ranked}.query WHERE rank <= 10),
+m AS (SELECT g.query, query_type, expected_doc_id IS NOT NULL AS scorable, min(CASE WHEN rel THEN rank END) AS first_rank FROM g LEFT JOIN r USING (query) GROUP BY ALL)
+SELECT CASE WHEN grouping(query_type) = 1 THEN 'ALL' ELSE query_type END AS query_type, count(*) AS n, count_if(scorable)::BIGINT AS n_scorable,
+ round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 1, false)::INT::DOUBLE END), 6) AS hit_1, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 3, false)::INT::DOUBLE END), 6) AS hit_3,
+ round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 5, false)::INT::DOUBLE END), 6) AS hit_5, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 10, false)::INT::DOUBLE END), 6) AS hit_10,
+ round(avg(CASE WHEN scorable THEN coalesce(1.0::DOUBLE / first_rank, 0.0) END), 6) AS mrr FROM m GROUP BY GROUPING SETS ((query_type), ()) HAVING count(*) > 0"""
     sim = """dv AS (SELECT a.vec_id AS query, b.vec_id AS key, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM dv QUALIFY rank <= 10)"""
@@ -223,21 +329,42 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)
         "bm25_topk": f"WITH {bm} SELECT query, key AS evidence_row_id, rank, score FROM bmr WHERE rank <= 10",
         "overlap_topk": f"WITH {q}, {ov} SELECT query, key AS evidence_row_id, rank, score FROM ovr WHERE rank <= 10",
         "rrf_hybrid": f"WITH {fu} SELECT query, key AS evidence_row_id, rank, score, rank_a, rank_b FROM fur WHERE rank <= 10",
-        "retrieval_metrics": f"""WITH {fu}, g AS (SELECT row_id AS query, query_type, expected_doc_id, expected_article FROM phase5b_eval_dataset WHERE row_id % 50 = 0),
-r AS (SELECT g.query, rank, coalesce(document_no = expected_doc_id AND (expected_article IS NULL OR try_cast(trim(article_number) AS INT) = expected_article), false) AS rel
- FROM fur JOIN scored_evidence e ON e.evidence_row_id = fur.key JOIN g ON g.query = fur.query WHERE rank <= 10),
-m AS (SELECT g.query, query_type, expected_doc_id IS NOT NULL AS scorable, min(CASE WHEN rel THEN rank END) AS first_rank FROM g LEFT JOIN r USING (query) GROUP BY ALL)
-SELECT CASE WHEN grouping(query_type) = 1 THEN 'ALL' ELSE query_type END AS query_type, count(*) AS n, count_if(scorable)::BIGINT AS n_scorable,
- round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 1, false)::INT::DOUBLE END), 6) AS hit_1, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 3, false)::INT::DOUBLE END), 6) AS hit_3,
- round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 5, false)::INT::DOUBLE END), 6) AS hit_5, round(avg(CASE WHEN scorable THEN coalesce(first_rank <= 10, false)::INT::DOUBLE END), 6) AS hit_10,
- round(avg(CASE WHEN scorable THEN coalesce(1.0::DOUBLE / first_rank, 0.0) END), 6) AS mrr FROM m GROUP BY GROUPING SETS ((query_type), ()) HAVING count(*) > 0""",
+        "retrieval_metrics": f"WITH {fu}, {metric('fur')}",
+        "dense_metrics": f"WITH {dfu}, {metric('fur')}",
+        "dense_hybrid": f"WITH {dfu} SELECT query, key AS evidence_row_id, rank, score, rank_a, rank_b FROM fur WHERE rank <= 10",
+        "one_arm": f"WITH {bm} SELECT query, key AS evidence_row_id, rank, round(1.0::DOUBLE / (60 + rank), 10) AS score FROM bmr WHERE rank <= 10",
+        "case_recall": f"""WITH c AS (SELECT case_row_id AS query, query AS text, retrieval_method, cited_chunk_ids FROM phase5_7_cases_results WHERE case_row_id % 50 = 0),
+{bm.replace(q, "q AS (SELECT query, text FROM c)", 1)}, h AS (SELECT query, rank, chunk_id FROM bmr JOIN scored_evidence ON evidence_row_id = key WHERE rank <= 10),
+g AS (SELECT DISTINCT query, retrieval_method, unnest(cited_chunk_ids) AS gold FROM c), gg AS (SELECT * FROM g WHERE gold IS NOT NULL),
+ga AS (SELECT DISTINCT query, retrieval_method, regexp_extract(gold, '^[^#]+#d[0-9]+') AS gold FROM gg),
+pc AS (SELECT gg.query, any_value(retrieval_method) AS retrieval_method, count(DISTINCT gold) AS n, count(DISTINCT CASE WHEN rank <= 5 THEN gold END) AS a5, count(DISTINCT CASE WHEN rank <= 10 THEN gold END) AS a10
+ FROM gg LEFT JOIN h ON h.query = gg.query AND (chunk_id = gold OR starts_with(chunk_id, gold || '-')) GROUP BY gg.query),
+pa AS (SELECT ga.query, count(DISTINCT gold) AS n, count(DISTINCT CASE WHEN rank <= 5 THEN gold END) AS a5, count(DISTINCT CASE WHEN rank <= 10 THEN gold END) AS a10
+ FROM ga LEFT JOIN h ON h.query = ga.query AND regexp_extract(chunk_id, '^[^#]+#d[0-9]+') = gold AND gold <> '' GROUP BY ga.query)
+SELECT retrieval_method, count(*) AS n, round(avg(pa.a5 / pa.n), 6) AS recall_5, round(avg(pa.a10 / pa.n), 6) AS recall_10, round(avg(pc.a5 / pc.n), 6) AS chunk_recall_5, round(avg(pc.a10 / pc.n), 6) AS chunk_recall_10
+ FROM pc JOIN pa USING (query) GROUP BY retrieval_method""",
+        "document_lookup": f"""WITH {bm}, {ov}, {fused('ovr', 50)}, x AS (SELECT fur.query, key, rank, CASE WHEN named <> '' AND starts_with(lower(document_no), named) THEN 0 ELSE 1 END AS bucket
+ FROM fur JOIN scored_evidence e ON e.evidence_row_id = key JOIN (SELECT query, lower(regexp_extract(text, '{document}', 1)) AS named FROM q) n ON n.query = fur.query WHERE rank <= 50)
+SELECT query, key AS evidence_row_id, rank, row_number() OVER (PARTITION BY query ORDER BY bucket, rank, key)::INT AS new_rank FROM x QUALIFY new_rank <= 10""",
+        "three_ways": f"""WITH {bm}, x AS (SELECT query, key, rank, CASE source_role WHEN 'FRAMEWORK_LAW' THEN 0 WHEN 'PENALTY' THEN 2 ELSE 1 END AS bucket, CASE WHEN source_role = 'PENALTY' THEN -index_version ELSE 0 END AS newer
+ FROM bmr JOIN scored_evidence e ON e.evidence_row_id = key WHERE rank <= 50)
+SELECT query, key AS evidence_row_id, bucket, rank, row_number() OVER (PARTITION BY query ORDER BY bucket, newer NULLS FIRST, rank, key)::INT AS new_rank FROM x QUALIFY new_rank <= 10""",
+        "dense_filtered": f"""WITH dv AS (SELECT a.vec_id AS query, b.vec_id AS key, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label = 3)
+SELECT query, key AS vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank, round(score, 4) AS cosine FROM dv QUALIFY rank <= 5""",
+        "index_validity": f"""WITH {latest}, f AS (SELECT index_version, count(*) AS n, list_sort(list(coalesce(chunk_id, '') || chr(1) || coalesce(content, chr(2)))) AS all_rows FROM l WHERE index_version IN (1, 2, 3, 4) GROUP BY index_version)
+SELECT a.index_version::INT AS index_version, a.n AS n_old, b.n AS n_new, a.all_rows = b.all_rows AS is_valid FROM f a, f b WHERE b.index_version = 4""",
+        "index_applied": f"""WITH {latest}, o AS (FROM l WHERE index_version = 1), n AS (FROM l WHERE index_version = 2)
+SELECT n.chunk_id, md5(n.content) AS content_md5, n.article_number, n.source_role, n.rule_type,
+ o.chunk_id IS NOT NULL AND o.content IS NOT DISTINCT FROM n.content AND (o.article_number, o.source_role, o.rule_type) IS NOT DISTINCT FROM (n.article_number, n.source_role, n.rule_type) AS kept
+FROM n LEFT JOIN o ON o.chunk_id = n.chunk_id""",
         "demoted": f"""WITH {bm}, b AS (FROM bmr WHERE rank <= 10), x AS (SELECT b.query, key, rank,
- round(CASE WHEN coalesce(validity <> 'valid', true) AND NOT {hist} THEN score::DOUBLE * 0.12::DOUBLE ELSE score::DOUBLE END, 8) AS new_score
- FROM b JOIN scored_evidence e ON e.evidence_row_id = key LEFT JOIN (SELECT doc_id, any_value(validity) AS validity FROM legal_documents GROUP BY doc_id) v USING (doc_id) JOIN q ON q.query = b.query)
+ round(CASE WHEN coalesce(repealed, false) AND NOT {hist} THEN score::DOUBLE * 0.12::DOUBLE ELSE score::DOUBLE END, 8) AS new_score
+ FROM b JOIN scored_evidence e ON e.evidence_row_id = key LEFT JOIN (SELECT doc_id, bool_or(validity = 'REPEALED') AS repealed FROM legal_documents GROUP BY doc_id) v USING (doc_id) JOIN q ON q.query = b.query)
 SELECT query, key AS evidence_row_id, rank, row_number() OVER (PARTITION BY query ORDER BY new_score DESC, rank, key)::INT AS new_rank, new_score FROM x""",
-        "exact_reference": f"""WITH {bm}, x AS (SELECT bmr.query, key, rank, CASE WHEN named <> '' AND trim(article_number) = named THEN 0 ELSE 1 END AS bucket
- FROM bmr JOIN scored_evidence e ON e.evidence_row_id = key JOIN (SELECT query, regexp_extract(lower(text), 'điều\\s+(\\d+)', 1) AS named FROM q) n ON n.query = bmr.query WHERE rank <= 10)
-SELECT query, key AS evidence_row_id, rank, row_number() OVER (PARTITION BY query ORDER BY bucket, rank, key)::INT AS new_rank FROM x""",
+        "exact_reference": f"""WITH {bm}, n AS (SELECT query, regexp_extract(lower(text), 'điều\\s+(\\d+)', 1) AS named, lower(regexp_extract(text, '{document}', 1)) AS document FROM q),
+x AS (SELECT bmr.query, key, rank, CASE WHEN named <> '' AND trim(article_number) = named THEN CASE WHEN document <> '' AND starts_with(lower(document_no), document) THEN 0 ELSE 1 END ELSE 2 END AS bucket
+ FROM bmr JOIN scored_evidence e ON e.evidence_row_id = key JOIN n ON n.query = bmr.query WHERE rank <= 50)
+SELECT query, key AS evidence_row_id, rank, row_number() OVER (PARTITION BY query ORDER BY bucket, rank, key)::INT AS new_rank FROM x QUALIFY new_rank <= 10""",
         "first_seen_union": f"""WITH {bm}, {ov}, u AS (SELECT query, key, rank, 1 AS arm FROM bmr WHERE rank <= 10 UNION ALL SELECT query, key, rank, 2 FROM ovr WHERE rank <= 10)
 SELECT query, key AS evidence_row_id, arm, rank FROM u QUALIFY row_number() OVER (PARTITION BY query, key ORDER BY arm, rank) = 1""",
         "dense_topk": f"WITH {sim} SELECT query, key AS vec_id, rank, round(score, 4) AS cosine FROM dr",
@@ -257,11 +384,8 @@ SELECT coalesce(h.doc_id, r.doc_id) AS doc_id, coalesce(n, 0) AS n_chunks, r.doc
         "parent_clauses": """WITH c AS (SELECT *, nullif(point, '') AS pt FROM scored_evidence), p AS (SELECT doc_id, article_number, clause_number, evidence_row_id AS parent_row_id FROM c
  WHERE pt IS NULL AND clause_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, article_number, clause_number ORDER BY index_version DESC NULLS LAST, evidence_row_id DESC) = 1)
 SELECT evidence_row_id, parent_row_id FROM c LEFT JOIN p USING (doc_id, article_number, clause_number) WHERE pt IS NOT NULL""",
-        "near_questions": f"""WITH {q}, qd AS (SELECT query, {key('text')} AS text, list_distinct({t.sql_tokens('text')}) AS words FROM q),
-cd AS (SELECT row_id AS key, {key('question')} AS other, unnest(list_distinct({t.sql_tokens('question')})) AS term FROM phase5b_eval_dataset), qx AS (SELECT query, text, len(words) AS nw, unnest(words) AS term FROM qd),
-o AS (SELECT query, key, any_value(text) AS text, any_value(other) AS other, round(count(*) / any_value(nw), 6) AS score FROM qx JOIN cd USING (term) GROUP BY query, key
- QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, key) <= 25),
-s AS (SELECT query, key, round(1 - levenshtein(text, other) / greatest(length(text), length(other), 1), 6) AS score FROM o WHERE key <> query),
+        "near_questions": f"""WITH {q}, qd AS (SELECT query, {key('text')} AS text FROM q WHERE text IS NOT NULL), cd AS (SELECT row_id AS key, {key('question')} AS other FROM phase5b_eval_dataset WHERE question IS NOT NULL),
+s AS (SELECT query, key, round(1 - levenshtein(text, other) / greatest(length(text), length(other), 1), 6) AS score FROM qd, cd WHERE key <> query),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s),
 b AS (SELECT query, max(CASE WHEN rank = 1 THEN key END) AS best, max(CASE WHEN rank = 1 THEN score END) AS ratio, max(CASE WHEN rank = 2 THEN score END) AS second FROM r WHERE rank <= 2 GROUP BY query)
 SELECT query, best, ratio, round(ratio - coalesce(second, 0.0), 6) AS margin,

@@ -122,7 +122,14 @@ carried AS (SELECT doc_id, pos, line, kind, {', '.join(last)} FROM kr)"""
     starts = ", ".join(repr(x) for x in [*s.LEVELS, "clause", "point"])
     fams = {"amount": "(\\d[\\d.,]*\\s*(?:đồng|triệu|tỷ))", "share": "(\\d+(?:[.,]\\d+)?\\s*%)", "days": "(\\d+)\\s+ngày", "months": "(\\d+)\\s+tháng", "article": "(điều\\s+\\d+)"}
     facts = " UNION ".join(f"SELECT turn_row_id, '{n}' AS family, unnest(regexp_extract_all(lower(user_query), '{p}', 1)) AS value FROM turns" for n, p in fams.items())
+    fresh, ended = s.FRESH.replace("'", "''"), s.ENDED.replace("'", "''")
     return {
+        "st_unwrapped": f"""WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS n FROM p),
+m AS (SELECT *, CASE WHEN n = 1 OR regexp_matches(lag(line) OVER w, '{ended}') OR regexp_matches(line, '{fresh}') THEN 1 ELSE 0 END AS begins FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM m),
+t AS (SELECT doc_id, grp, n, CASE WHEN n > min(n) OVER w THEN ltrim(line, ' ') ELSE line END AS line, n = max(n) OVER w AS is_last FROM g WINDOW w AS (PARTITION BY doc_id, grp)),
+j AS (SELECT doc_id, grp, string_agg(CASE WHEN is_last THEN line ELSE rtrim(line, ' ') END, ' ' ORDER BY n) AS line, count(*) AS k FROM t GROUP BY doc_id, grp)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY grp) AS text, sum(k)::INT AS n_before, count(*)::INT AS n_after FROM j GROUP BY doc_id""",
         "st_line_kinds": f"WITH {lines} SELECT {kind} AS kind, count(*) AS n FROM lines GROUP BY 1",
         "st_headings": f"WITH {carried} SELECT doc_id, pos, kind, chapter, section, article, clause, point FROM carried WHERE kind IN ('clause', 'point')",
         "st_chunks": f"""WITH {carried}, c AS (SELECT *, sum((kind IN ({starts}))::INT) OVER ({w})::BIGINT AS chunk_no FROM carried),

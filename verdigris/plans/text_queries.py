@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as t
+from verdigris.operators import index
 from verdigris.sources.tables import table
 
 SLANG = [("cty", "công ty"), ("hđlđ", "hợp đồng lao động"), ("bhxh", "bảo hiểm xã hội"), ("em", "tôi"), ("sdt", "số điện thoại"), ("đt", "điện thoại")]
@@ -36,9 +37,9 @@ def t_folded(spark: SparkSession, d: str) -> DataFrame:
 
 def t_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and chunks per token over all evidence."""
-    words = table(spark, d, "scored_evidence").select("evidence_row_id", F.explode(t.tokens(F.col("content"))).alias("token"))
-    per_chunk = words.groupBy("token", "evidence_row_id").agg(F.count("*").alias("tf"))
-    return per_chunk.groupBy("token").agg(F.sum("tf").alias("n_occurrences"), F.count("*").alias("n_chunks"))
+    # Counted where a chunk is, so that only one row per token and partition is shuffled.
+    counted = index.postings(table(spark, d, "scored_evidence"), "evidence_row_id", "content").where(F.col("term") != index.ALL)
+    return counted.groupBy(F.col("term").alias("token")).agg(F.sum("tf").alias("n_occurrences"), F.count("*").alias("n_chunks"))
 
 
 def t_token_sets(spark: SparkSession, d: str) -> DataFrame:

@@ -87,9 +87,9 @@ def q_partial_json(spark: SparkSession, d: str) -> DataFrame:
 
 def q_restored(spark: SparkSession, d: str) -> DataFrame:
     """Answers with their accents put back; the dictionary is counted from the evidence."""
-    known = restore.dictionary(table(spark, d, "scored_evidence"), "content")
+    known = restore.entries(table(spark, d, "scored_evidence"), "content")
     a = table(spark, d, "turns").select(F.col("turn_row_id").alias("row_id"), F.col("assistant_response").alias("text"))
-    return restore.restored(a, known)
+    return restore.restored_by(a, known)
 
 
 def queries() -> dict:

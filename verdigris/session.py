@@ -38,14 +38,27 @@ def session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors share one machine's disk."""
+    return spark.conf.get("spark.master", "").startswith("local")
+
+
+def lasting_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, where tables outlive the session; a temporary folder only in a local session without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or _shared_folder(spark)
+
+
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The session's own part of ``spark.checkpoint.dir``; a temporary folder only in a local session without one, as in tests."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not _local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="verdigris-")
         atexit.register(shutil.rmtree, folder, True)
     context.setCheckpointDir(folder)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigris.functions.text import csv_safe
+from verdigris.session import cut
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -93,25 +95,52 @@ def html_lines(pages: DataFrame, key: str, html: str) -> DataFrame:
     return lines.withColumn("_b", before).where("_b IS NULL OR _b <> line").drop("_b")
 
 
-def mined_links(pages: DataFrame, html: str) -> DataFrame:
-    """(item_id, title): numbered links, the first title of each id, over all pages."""
+def mined_links(pages: DataFrame, html: str, order: str | None = None) -> DataFrame:
+    """(item_id, title): numbered links, the first title of each id over all pages in the order of a column, the first other than ``html`` if none is named."""
     pattern = r'(?is)<a[^>]*href="[^"]*ItemID=(\d+)[^"]*"[^>]*>(.*?)</a>'
     ids, titles = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    links = pages.select(F.monotonically_increasing_id().alias("_page"), F.posexplode(F.arrays_zip(ids.alias("item_id"), titles.alias("title"))).alias("_n", "l"))
+    others = [c for c in pages.columns if c != html]
+    page = F.col(order or others[0]) if order or others else F.xxhash64(html)
+    links = pages.select(page.alias("_page"), F.posexplode(F.arrays_zip(ids.alias("item_id"), titles.alias("title"))).alias("_n", "l"))
     clean = F.trim(F.regexp_replace(F.col("l.title"), r"<[^>]*>", ""))
-    return links.select(F.col("l.item_id").alias("item_id"), clean.alias("title"), "_page", "_n").groupBy("item_id").agg(F.min_by("title", F.struct("_page", "_n")).alias("title"))
+    return links.select(F.col("l.item_id").alias("item_id"), clean.alias("title"), "_page", "_n").groupBy("item_id").agg(F.min_by("title", F.struct("_page", "_n", "title")).alias("title"))
+
+
+def _pointer(spark: SparkSession, path: str):
+    """(step, version) that was published last, or None."""
+    try:
+        return spark.read.schema("step bigint, version string").json(f"{path}/_pointer").orderBy(F.desc("step"), F.desc("version")).first()
+    except AnalysisException:
+        return None
 
 
 def publish(df: DataFrame, path: str, version: str) -> None:
-    """A new version beside the old ones, then a pointer to it."""
+    """A new version beside the old ones, then one more pointer to it: a reader finds the old pointer until the new one is whole."""
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/_pointer")
+    last = _pointer(df.sparkSession, path)
+    step = 1 if last is None else last.step + 1
+    df.sparkSession.createDataFrame([(step, version)], "step bigint, version string").coalesce(1).write.mode("append").json(f"{path}/_pointer")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """The version that the pointer names."""
-    version = spark.read.schema("version string").json(f"{path}/_pointer").first()[0]
-    return spark.read.parquet(f"{path}/version={version}")
+    """The version that the newest pointer names."""
+    return spark.read.parquet(f"{path}/version={_pointer(spark, path).version}")
+
+
+def rewrite_json(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what stands at the path; what is read from there is written out in full first."""
+    cut(df).write.mode("overwrite").json(path)
+
+
+def metrics_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """A CSV with header and as it is, for measures; ``mark`` puts a byte order mark before the first name of each part."""
+    named = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if mark else df
+    named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def paged(df: DataFrame, order: list, page: int, size: int = 200) -> DataFrame:
+    """One page of an ordered table; the size of a page is the feature."""
+    return df.orderBy(*order).offset(page * size).limit(size)
 
 
 def backup(df: DataFrame, path: str) -> str:
@@ -125,3 +154,11 @@ def checksum(df: DataFrame) -> str:
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
     row = df.select(h.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"))
     return row.select(F.sha2(F.concat_ws(":", "n", "s", "x"), 256)).first()[0]
+
+
+def restore_backup(spark: SparkSession, path: str, schema: str, expected: str) -> DataFrame:
+    """The rows of a backup, if their checksum is the one that ``backup`` returned."""
+    df = spark.read.schema(schema).json(path)
+    if checksum(df) != expected:
+        raise ValueError(f"the backup at {path} isn't what was written")
+    return df

@@ -8,8 +8,7 @@ API defines it, and nothing else is.
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,7 +78,8 @@ def upsert_sink(path: str, keys: list[str], order: list[str]):
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The table as the last named generation has it, or None before the first."""
-    if "://" not in path and not os.path.exists(f"{path}/pointer"):
+    try:
+        newest = spark.read.schema("generation bigint").json(f"{path}/pointer").agg(F.max("generation")).first()[0]
+    except AnalysisException:
         return None
-    newest = spark.read.schema("generation bigint").json(f"{path}/pointer").agg(F.max("generation")).first()[0]
     return spark.read.parquet(f"{path}/generation={newest}")
