@@ -219,8 +219,9 @@ def vocabulary(texts: DataFrame, column: str, size: int = VOCABULARY) -> list[st
     words = (
         texts.select(F.explode(F.split(column, r"[\s\u00a0]+")).alias("token"))
         .groupBy("token")
-        .agg(F.count("*").alias("n"))
-        .select(F.regexp_replace("token", marks, "").alias("word"), "n")
+        # The token comes out of the aggregate once more: what is asked of it below is asked per token, not per row.
+        .agg(F.count("*").alias("n"), F.max("token").alias("one"))
+        .select(F.regexp_replace("one", marks, "").alias("word"), "n")
         .where(F.length("word").between(1, 64) & F.col("word").rlike(f"^[{_NORMAL}]+$") & F.col("word").rlike(r"\p{L}"))
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
