@@ -47,6 +47,19 @@ def test_contexts_are_those_of_each_part():
     assert len({p[-1] for p in (row for row in (a[3] for a in alone))}) == 3 and alone[1][2][-1] == alone[2][2][-1]
 
 
+def test_last_contexts_are_those_of_whole_parts():
+    parts = ["^", "^ab", "^" + "xyz " * 40, "^0. một", "^" + "a" * 31, "^" + "a" * 32]
+    assert defects.last_contexts(parts) == [[int(row[-1]) for row in defects.contexts([p])] for p in parts] and defects.last_contexts([]) == []
+
+
+def test_signs_are_needed():
+    rng = random.Random(2)
+    signs = ["a", " ", "<b>", "<", "`", "```x", "«q»", "“q”", "\"q\"", "(q)", "‘q’", "\n", "*Nguồn: x*", "\nCăn cứ pháp lý\n- x", "*"]
+    for _ in range(2000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 6)))
+        assert defects._no_markup(text) == defects._markup.sub(" ", text) and defects._no_quotes(text) == defects._quoted.sub(" ", text) and defects._no_tail(text, "") == defects._tail.sub("", text)
+
+
 def test_ends_against_counting(spark):
     rng = random.Random(4)
     words = ["giấy", "ra", "viện", "lương", "nghỉ"]
@@ -54,7 +67,7 @@ def test_ends_against_counting(spark):
     df = spark.createDataFrame([("t", i, None, a) for i, a in enumerate(answers)], ROWS)
     judge = defects._Judge(defects.Languages([]))
     rows = [(defects._hash(a), *judge.judge(None, a)) for a in answers if a]
-    open_ends = [(h, tuple(c)) for h, _, c in rows if c]
+    open_ends = [(h, tuple(defects.last_contexts([c])[0])) for h, _, c in rows if c]
     got = {tuple(r.contexts): r.p_end for r in defects.ends(df, spark.createDataFrame(open_ends, "answer_hash bigint, contexts array<bigint>")).collect()}
     n_end, n_on = {}, {}
     for a in answers:

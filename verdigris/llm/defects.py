@@ -107,18 +107,28 @@ class Languages:
         self.matrix[place] = [s / len(grams) * min(len(grams), 6) for s in sums]
         return place
 
-    def posteriors(self, text: str) -> dict:
-        """Language to probability; empty for a text without letters."""
-        units = _unit.findall(text.lower())
-        if not units or not self.names:
-            return {}
+    def posteriors_of(self, texts: list[str]) -> np.ndarray:
+        """A row of probabilities per text, of zeros for a text without letters; all texts in a few array operations."""
         if len(self.rows) > self.MOST_ROWS:
             self.rows.clear()
-        known = self.rows
-        places = [known[u] if u in known else self._row(u) for u in units]
-        sums = self.matrix[places].sum(axis=0)
-        weights = np.exp(sums - sums.max())
-        return dict(zip(self.names, (weights / weights.sum()).tolist()))
+        known, places, sizes = self.rows, [], []
+        for text in texts:
+            units = _unit.findall(text.lower()) if self.names else []
+            places += [known[u] if u in known else self._row(u) for u in units]
+            sizes.append(len(units))
+        out = np.zeros((len(texts), len(self.names)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            begins = (np.cumsum(sizes) - sizes)[some]
+            sums = np.add.reduceat(self.matrix[places], begins, axis=0)
+            weights = np.exp(sums - sums.max(axis=1, keepdims=True))
+            out[some] = weights / weights.sum(axis=1, keepdims=True)
+        return out
+
+    def posteriors(self, text: str) -> dict:
+        """Language to probability; empty for a text without letters."""
+        row = self.posteriors_of([text])[0]
+        return dict(zip(self.names, row.tolist())) if row.any() else {}
 
 
 def fit_languages(documents: DataFrame) -> Languages:
@@ -153,6 +163,16 @@ _markup = regex.compile(r"</?\p{L}[^<>]*>|<!--.*?-->|```\w*")
 _void = regex.compile(r"(?i)^\W*(?:null|none|n/?a|nan|nil|undefined|trống|trong|không có|empty)?\W*$")
 
 
+def _parted(pattern, signs: str):
+    """``pattern`` replaced by a blank, in texts that hold one of the signs that it needs."""
+    needed = regex.compile(signs)
+    return lambda text, new=" ": pattern.sub(new, text) if needed.search(text) else text
+
+
+_no_markup, _no_quotes = _parted(_markup, "[<`]"), _parted(_quoted, "[«“\"‘「『`(]")
+_no_tail = _parted(_tail, "[\n*]")
+
+
 def body_of(answer: str) -> str:
     """The answer without greetings and labels before it."""
     while True:
@@ -220,7 +240,7 @@ _sentences = regex.compile(r"[^.!?。！？\n]+")
 def refuses(answer: str) -> bool:
     """Every sentence declines, excuses itself or sends elsewhere, and one at least declines."""
     declined = False
-    for m in _sentences.finditer(body_of(_tail.sub("", answer))):
+    for m in _sentences.finditer(body_of(_no_tail(answer, ""))):
         sentence = bare(lookalike.by_table(m[0])).replace("’", "'").strip(" \t*_-–:,;\"'“”()")
         if not any(c.isalnum() for c in sentence):
             continue
@@ -297,9 +317,13 @@ def contexts(parts: list[str]):
     return prints
 
 
-def last_contexts(part: str) -> list[int]:
-    """The prints of a part's end, from the shortest context to the longest."""
-    return [int(p[-1]) for p in contexts([part])]
+def last_contexts(parts: list[str]) -> list[list[int]]:
+    """Per part the prints of its end, from the shortest context to the longest."""
+    if not parts:
+        return []
+    tails = [part[-ORDERS[-1] :] for part in parts]
+    ends = np.cumsum(np.fromiter(map(len, tails), np.int64, len(tails))) - 1
+    return np.stack([row[ends] for row in contexts(tails)], axis=1).tolist()
 
 
 #: Bits of the table that tells which contexts are asked for.
@@ -374,41 +398,58 @@ class _Judge:
     def __init__(self, languages):
         self.languages = languages
 
-    def other(self, question: str, answer: str) -> bool:
-        body = _quoted.sub(" ", _tail.sub("", body_of(answer)))
-        asked, said = self.languages.posteriors(_quoted.sub(" ", question)), self.languages.posteriors(body)
-        if not asked or not said:
-            return False
-        a, s = max(asked, key=asked.get), max(said, key=said.get)
-        return a != s and asked[a] > 0.9 and said[s] > 0.9
-
-    def judge(self, question, answer):
-        """(defect or None, contexts of the end if that is to be looked up)."""
+    def others(self, pairs: list[tuple[str, str]]) -> list[bool]:
+        """Per question and answer whether their languages are told apart with confidence."""
+        asked = self.languages.posteriors_of([_no_quotes(question) for question, _ in pairs])
+        said = self.languages.posteriors_of([_no_quotes(_no_tail(body_of(answer), "")) for _, answer in pairs])
+        if not asked.size:
+            return [False] * len(pairs)
+        apart = (asked.argmax(1) != said.argmax(1)) & (asked.max(1) > 0.9) & (said.max(1) > 0.9)
+        return apart.tolist()
+
+    @staticmethod
+    def plain(question, answer):
+        """A defect that needs no model, or None."""
         if answer is None:
-            return "EMPTY", None
-        said = lookalike._ignorable.sub("", _markup.sub(" ", answer))
+            return "EMPTY"
+        said = lookalike._ignorable.sub("", _no_markup(answer))
         if _void.match(said) or _void.match(body_of(said)):
-            return "EMPTY", None
+            return "EMPTY"
         if question and copies(question, said):
-            return "COPIES_QUESTION", None
-        if refuses(said):
-            return "REFUSAL", None
-        said = lookalike._ignorable.sub("", answer)
-        if question and self.other(question, said):
-            return "OTHER_LANGUAGE", None
-        if dangling(said) or open_bracket(said.rstrip()):
-            return "TRUNCATED", None
-        rest = "" if _ended.search(said) else units(said)[1]
-        return None, last_contexts(rest) if rest else None
+            return "COPIES_QUESTION"
+        return "REFUSAL" if refuses(said) else None
+
+    def judged(self, pairs: list[tuple]) -> list[tuple]:
+        """Per pair (defect or None, what comes after the last full stop if its end is to be looked up)."""
+        found = [(self.plain(question, answer), None) for question, answer in pairs]
+        open_ = [k for k, (defect, _) in enumerate(found) if defect is None]
+        texts = {k: lookalike._ignorable.sub("", pairs[k][1]) for k in open_}
+        asked = [k for k in open_ if pairs[k][0]]
+        apart = {k for k, other in zip(asked, self.others([(pairs[k][0], texts[k]) for k in asked])) if other} if asked else set()
+        for k in open_:
+            said = texts[k]
+            if k in apart:
+                found[k] = ("OTHER_LANGUAGE", None)
+            elif dangling(said) or open_bracket(said.rstrip()):
+                found[k] = ("TRUNCATED", None)
+            else:
+                found[k] = (None, ("" if _ended.search(said) else units(said)[1]) or None)
+        return found
+
+    def judge(self, question, answer):
+        return self.judged([(question, answer)])[0]
 
     def __call__(self, batch):
-        out: dict = {"pair_table": batch["pair_table"], "row_id": batch["row_id"], "abstain": batch["abstain"], "defect": [], "answer_hash": [], "contexts": []}
-        for question, answer in zip(batch["question"], batch["answer"]):
-            defect, last = self.judge(question, answer)
-            out["defect"].append(defect)
-            out["answer_hash"].append(None if last is None else _hash(answer))
-            out["contexts"].append(last)
-        return out
+        found = self.judged(list(zip(batch["question"], batch["answer"])))
+        ends = iter(last_contexts([end for _, end in found if end]))
+        return {
+            "pair_table": batch["pair_table"],
+            "row_id": batch["row_id"],
+            "abstain": batch["abstain"],
+            "defect": [defect for defect, _ in found],
+            "answer_hash": [_hash(answer) if end else None for answer, (_, end) in zip(batch["answer"], found)],
+            "contexts": [next(ends) if end else None for _, end in found],
+        }
 
 
 def ends(pairs: DataFrame, open_ends: DataFrame) -> DataFrame:
