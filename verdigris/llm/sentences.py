@@ -83,15 +83,16 @@ TABLE = _Table()
 _stop = "!?。！？｡។៕‼⁇⁈⁉؟।"
 _closers = "\"'”’»)\\]」』）】〉》›"
 _event = regex.compile(
-    rf"(?P<stop>[.．…{_stop}]+)|(?P<line>(?:(?<![ \t\r\f ])[ \t\r\f ]++)?\n\s*+)|(?P<open>[“‘«(\[「『（【〈《‹„])|(?P<close>[”’»)\]」』）】〉》›])|(?P<straight>[\"'])"
-    r"|(?P<thai>(?<=[\u0e00-\u0e7f][”»)\"]?)[ \u00a0]+(?=\S)|(?<=[^\s\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f]))"
+    # What a symbol can begin with is looked at first; most characters are none of it.
+    rf"(?=[.．…{_stop}\s“‘«(\[「『（【〈《‹„”’»)\]」』）】〉》›\"'])(?:(?P<stop>[.．…{_stop}]+)|(?P<line>(?:(?<![ \t\r\f ])[ \t\r\f ]++)?\n\s*+)|(?P<open>[“‘«(\[「『（【〈《‹„])|(?P<close>[”’»)\]」』）】〉》›])|(?P<straight>[\"'])"
+    r"|(?P<thai>(?<=[\u0e00-\u0e7f][”»)\"]?)[ \u00a0]+(?=\S)|(?<=[^\s\u0e00-\u0e7f])[ \u00a0]+(?=[\u0e00-\u0e7f])))"
 )
 _partner = {"“": "”", "‘": "’", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "‹": "›", "„": "“”"}
 _after = regex.compile(rf"[{_closers}]{{0,20}}")
 _marks = "".join(dict.fromkeys("".join(_partner.values()) + "\"'"))
 _caseless = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Khmer}\p{Lao}\p{Myanmar}]")
 _spaceless = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Khmer}]")
-_before = regex.compile(r"(?:[\p{L}\p{M}\p{N}]+(?:[.][\p{L}\p{M}\p{N}]+)*)$")
+_before = regex.compile(r"(?r)(?:[\p{L}\p{M}\p{N}]+(?:[.][\p{L}\p{M}\p{N}]+)*)$")
 _marker = r"(?:\d{1,3}(?:\.\d{1,3})*[.)]|\(\d{1,3}\)|[a-zđ][.)]|[ivx]{1,4}[.)]|[-–—•*+·▪])"
 _item = regex.compile(rf"\s*{_marker}\s+\S")
 # Words that head a numbered part.
@@ -117,6 +118,20 @@ _months = set("jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr j
 _particles = regex.compile(r"(?:と|って|は|が|を|に|の|も|で|へ|や|など|だ|的|地|，|、|,|说|說|道|등|라|하고|고|는|을|를|이라|며|면서)")
 
 
+class _Of(dict):
+    """Whether a character is of a class; characters met before are remembered."""
+
+    def __init__(self, pattern):
+        self.pattern = pattern
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = self.pattern.match(c) is not None
+        return self[c]
+
+
+_is_caseless, _is_spaceless = _Of(_caseless), _Of(_spaceless)
+
+
 def _next_visible(text: str, at: int):
     """The first character after ``at`` that isn't a blank, and whether blanks or breaks come before it."""
     n, start = min(len(text), at + LOOK), at
@@ -133,7 +148,7 @@ def _starts_sentence(text: str, at: int) -> bool:
     if at >= n:
         return True
     c = text[at]
-    return c.isupper() or c.isdigit() or _caseless.match(c) is not None
+    return c.isupper() or c.isdigit() or _is_caseless[c]
 
 
 def _stop_ends(text: str, start: int, end: int):
@@ -166,7 +181,7 @@ def _can_end(text: str, start: int, end: int) -> bool:
         # Lost blanks: the next sentence follows at once.
         if any(x in "。！？｡។៕" for x in cluster):
             return True
-        return c.isupper() or _caseless.match(c) is not None
+        return c.isupper() or _is_caseless[c]
     if "…" in cluster or len(cluster) > 1:
         # An ellipsis.
         if not blank:
@@ -180,8 +195,8 @@ def _can_end(text: str, start: int, end: int) -> bool:
         if past > end:
             # A closing mark and then a letter at once: still inside.
             return False
-        if _caseless.match(c):
-            return bool(token) and _caseless.match(token[-1]) is not None and not token[-1].isdigit()
+        if _is_caseless[c]:
+            return bool(token) and _is_caseless[token[-1]] and not token[-1].isdigit()
         if not c.isupper():
             return False
         following = text[place + 1 : place + 2]
@@ -236,7 +251,7 @@ def _line_symbol(text: str, start: int, end: int):
             return not first.islower()
         if tail == ":":
             return upcoming[:1] not in "“‘«\"'「『" and not first.islower()
-        if _spaceless.match(line[-1]) and not _caseless.match(first or " "):
+        if _is_spaceless[line[-1]] and not _is_caseless[first or " "]:
             return first.isupper()
         if "฀" <= line[-1] <= "๿":
             return True
@@ -301,7 +316,7 @@ def symbols(text: str, lo: int, hi: int, ahead: _Ahead):
             if event is not None:
                 closing = _after.match(text, end).end()
                 # Closing marks belong to the sentence they close; a straight one only before a blank.
-                while over < closing and (text[over] not in "\"'" or closing >= len(text) or text[closing].isspace() or _caseless.match(text[closing])):
+                while over < closing and (text[over] not in "\"'" or closing >= len(text) or text[closing].isspace() or _is_caseless[text[closing]]):
                     over += 1
         elif kind == "thai":
             event, over = BLANK, start
@@ -310,7 +325,7 @@ def symbols(text: str, lo: int, hi: int, ahead: _Ahead):
                 event = OPEN
         else:
             closing = kind == "close"
-            if m[0] in "’'" and 0 < start and text[start - 1].isalnum() and text[end : end + 1].isalnum() and not _spaceless.match(text[start - 1]):
+            if m[0] in "’'" and 0 < start and text[start - 1].isalnum() and text[end : end + 1].isalnum() and not _is_spaceless[text[start - 1]]:
                 continue
             if kind == "straight":
                 before, after = text[start - 1 : start], text[end : end + 1]
@@ -328,11 +343,11 @@ def symbols(text: str, lo: int, hi: int, ahead: _Ahead):
                     c, blank, place = _next_visible(text, past)
                     if not c or "\n\n" in text[past:place]:
                         event = CLOSE_END
-                    elif _particles.match(text, place) and _caseless.match(c):
+                    elif _particles.match(text, place) and _is_caseless[c]:
                         event = CLOSE
                     elif blank:
                         event = CLOSE_END if _starts_sentence(text, place) else CLOSE
-                    elif _spaceless.match(c) and not ("ក" <= c <= "៿") and not ("฀" <= c <= "๿"):
+                    elif _is_spaceless[c] and not ("ក" <= c <= "៿") and not ("฀" <= c <= "๿"):
                         event = CLOSE_END
                     if event == CLOSE_END:
                         over = past
@@ -408,7 +423,7 @@ def chunk_function(text: str, lo: int, hi: int, entries=range(STATES)):
     return exits.tolist(), [[at for at, who in some if who[k]] + every for k in range(len(exits))]
 
 
-FUNCTIONS = "doc_id bigint, first int, exits array<smallint>, at array<bigint>, chunk array<int>, who array<binary>"
+FUNCTIONS = "doc_id bigint, first int, exits array<smallint>, at array<int>, maybe array<int>, chunk array<int>, who array<binary>"
 
 
 class _Functions:
@@ -423,18 +438,23 @@ class _Functions:
         self.chunk = chunk
 
     def __call__(self, batch):
-        out: dict = {name: [] for name in ("doc_id", "first", "exits", "at", "chunk", "who")}
+        out: dict = {name: [] for name in ("doc_id", "first", "exits", "at", "maybe", "chunk", "who")}
         for doc, first, before, size, tail, text in zip(*(batch[c] for c in ("doc_id", "first", "before", "size", "tail", "text"))):
-            exits, places, numbers, who = [], [], [], []
+            exits, places, maybe, numbers, who = [], [], [], [], []
             ahead = _Ahead(text, tail)
             for number, lo in enumerate(range(before, before + size, self.chunk), first):
                 base = number * self.chunk - lo
                 left, some, every = summary(text, lo, min(lo + self.chunk, before + size), (BETWEEN,) if number == 0 else range(STATES), ahead)
-                exits += left.tolist() * (STATES if number == 0 else 1)
-                places += [base + at for at, _ in some] + [base + at for at in every]
-                numbers += [number - first] * (len(some) + len(every))
-                who += [b"" if mask.all() else np.packbits(mask).tobytes() for _, mask in some] + [b""] * len(every)
-            for name, value in zip(out, (doc, first, exits, places, numbers, who)):
+                if size > self.chunk or number:
+                    exits += left.tolist() * (STATES if number == 0 else 1)
+                if number == 0:
+                    every = [at for at, _ in some] + every
+                else:
+                    maybe += [base + at for at, _ in some]
+                    numbers += [number - first] * len(some)
+                    who += [np.packbits(mask).tobytes() for _, mask in some]
+                places += [base + at for at in every] if base else every
+            for name, value in zip(out, (doc, first, exits, places, maybe, numbers, who)):
                 out[name].append(value)
         return out
 
@@ -477,9 +497,11 @@ class _Scan:
 
     def __call__(self, batch):
         docs, starts = [], []
-        for doc, exits, places, chunks, who in zip(*(batch[c] for c in ("doc_id", "exits", "at", "chunk", "who"))):
-            entries = prefix_entries(np.array(exits, np.int64).reshape(-1, STATES)) if exits else []
-            mine = [at for at, k, mask in zip(places, chunks, who) if not mask or mask[entries[k] >> 3] >> (7 - (entries[k] & 7)) & 1]
+        for doc, exits, places, maybe, chunks, who in zip(*(batch[c] for c in ("doc_id", "exits", "at", "maybe", "chunk", "who"))):
+            mine = places
+            if maybe:
+                entries = prefix_entries(np.array(exits, np.int64).reshape(-1, STATES))
+                mine = places + [at for at, k, mask in zip(maybe, chunks, who) if mask[entries[k] >> 3] >> (7 - (entries[k] & 7)) & 1]
             docs += [doc] * len(mine)
             starts += mine
         return {"doc_id": docs, "start_pos": starts}
@@ -504,12 +526,13 @@ def sentence_starts(documents: DataFrame, chunk: int = CHUNK, spread: int = SPRE
     key = F.to_json(F.struct("doc_id", F.xxhash64("text").alias("print")))
     pieces = map_batches(texts.where(F.length("text") > most).select(key.alias("doc_id"), "text"), _Split(chunk, spread), PIECES)
     functions = map_batches(pieces.repartition("doc_id", "first"), _Functions(chunk), FUNCTIONS.replace("doc_id bigint", "doc_id string"))
-    once = functions.groupBy("doc_id", "first").agg(F.first(F.struct("first", "exits", "at", "chunk", "who")).alias("f"), F.count("*").alias("copies"))
+    once = functions.groupBy("doc_id", "first").agg(F.first(F.struct("first", "exits", "at", "maybe", "chunk", "who")).alias("f"), F.count("*").alias("copies"))
     by_text = once.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f"), F.max("copies").alias("copies"))
     rejoined = by_text.select(
         F.from_json("doc_id", "doc_id bigint, print bigint")["doc_id"].alias("doc_id"),
         F.flatten("f.exits").alias("exits"),
         F.flatten("f.at").alias("at"),
+        F.flatten("f.maybe").alias("maybe"),
         F.flatten(F.transform("f", lambda p: F.transform(p["chunk"], lambda k: k + p["first"]))).alias("chunk"),
         F.flatten("f.who").alias("who"),
         F.explode(F.expr("sequence(1, copies)")).alias("copy"),
