@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators.metrics import ordered_values
+
 
 def chat_record(question: Column, answer: Column, system: str, source: Column | None = None) -> Column:
     """A chat record as JSON; the source is appended to the answer unless it names it already."""
@@ -25,6 +27,19 @@ def split(df: DataFrame, key: str, share: float = 0.1, seed: int = 42) -> DataFr
     return df.withColumn("split", F.when(hash_share(F.col(key), seed) < share, "val").otherwise("train"))
 
 
+def split_exact(df: DataFrame, key: str, share: float = 0.1, least: int = 80, seed: int = 42) -> DataFrame:
+    """Adds ``split`` with an exact number of keys for val: the share, at least ``least``, at most a fifth.
+
+    Keys stand in the order of their hash share; the last share that is val is
+    found by counting, so nothing is sorted as a whole. A null key is train.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(F.lit(1).alias("one"), F.col(key).alias("k")).distinct().withColumn("share", hash_share(F.col("k"), seed))
+    n_val = lambda n: F.least(F.greatest(F.lit(least), F.floor(n * share)), F.floor(n / 5))
+    last = ordered_values(keys, "one", "share", {"last": lambda n: n_val(n) - 1}).select(F.when(n_val(F.col("_n")) > 0, F.col("last")).otherwise(-1.0).alias("last"))
+    bound = F.coalesce(last.scalar(), F.lit(-1.0))
+    return df.withColumn("split", F.when(hash_share(F.col(key), seed) <= bound, "val").otherwise("train"))
+
+
 def merged(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     """The base with those extra rows whose key it lacks."""
     return base.unionByName(extra.join(base.select(key), key, "left_anti"))

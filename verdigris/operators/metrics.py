@@ -62,27 +62,50 @@ def recall_by(gold: DataFrame, held: DataFrame, kind: str) -> DataFrame:
     return both.groupBy(kind).agg(*out)
 
 
-def order_statistic(df: DataFrame, group: str, value: str, share: float, out: str, buckets: int = 1024) -> DataFrame:
-    """(group, out): the value at place floor(n * share) of the group's sorted values, counted from 0.
+def ordered_values(df: DataFrame, group: str, value: str, places: dict, buckets: int = 1024) -> DataFrame:
+    """(group, _n, a column for each place): values at places of the group's sorted values, counted from 0.
 
+    ``places`` gives for each name a function of the group's number of values.
     Values are counted in equal ranges between the group's least and greatest;
-    only the range that holds the place is sorted. Groups of any size combine
+    only the ranges that hold a place are sorted. Groups of any size combine
     map-side, and no list of values is collected. Nulls don't count; a group
-    without values has no row. The place never passes the end.
+    without values has no row, one whose key is null has one. Places outside
+    are moved to the nearest end.
     """
-    v = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    ends = v.groupBy(group).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    v = df.where(F.col(value).isNotNull()).select(F.struct(F.col(group)).alias("_g"), F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
     width = F.greatest((F.col("_high") - F.col("_low")) / buckets, F.lit(1e-300))
-    binned = v.join(ends, group).withColumn("_bin", F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(buckets - 1)))
-    counts = binned.groupBy(group, "_bin", "_n").agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    found = (
-        counts.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0)))
-        .withColumn("_place", place)
-        .where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_k")))
-        .select(group, "_bin", (F.col("_place") - F.col("_before") + 1).alias("_nth"))
+    binned = v.join(ends, "_g").withColumn("_bin", F.least(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(buckets - 1)))
+    counts = binned.groupBy("_g", "_bin", "_n").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda place: F.greatest(F.least(place(F.col("_n")), F.col("_n") - 1), F.lit(0)).cast("bigint")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), inside(place).alias("at")) for name, place in places.items()]))
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0))).withColumn("_p", wanted)
+    found = placed.where((F.col("_before") <= F.col("_p.at")) & (F.col("_p.at") < F.col("_before") + F.col("_k"))).select(
+        "_g", "_bin", F.col("_p.name").alias("_name"), (F.col("_p.at") - F.col("_before") + 1).alias("_nth")
     )
-    inside = binned.join(found, [group, "_bin"])
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("_v"))
-    return inside.withColumn("_r", nth).where("_r = _nth").select(group, F.col("_v").alias(out))
+    held = binned.join(found, ["_g", "_bin"])
+    nth = F.row_number().over(Window.partitionBy("_g", "_bin", "_name").orderBy("_v"))
+    picked = held.withColumn("_r", nth).where("_r = _nth")
+    out = picked.groupBy("_g", "_n").agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
+    return out.select(F.col("_g")[group].alias(group), "_n", *places)
+
+
+def order_statistic(df: DataFrame, group: str, value: str, share: float, out: str, buckets: int = 1024) -> DataFrame:
+    """(group, out): the value at place floor(n * share) of the group's sorted values, as ``ordered_values`` finds it."""
+    return ordered_values(df, group, value, {out: lambda n: F.floor(n * share)}, buckets).drop("_n")
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): percentiles between the two nearest values, exact for groups of any size."""
+    places: dict = {}
+    for name, share in shares.items():
+        places[f"_{name}_a"] = lambda n, share=share: F.floor((n - 1) * share)
+        places[f"_{name}_b"] = lambda n, share=share: F.ceil((n - 1) * share)
+    found = ordered_values(df, group, value, places)
+
+    def between(name, share):
+        at = (F.col("_n") - 1) * share
+        return F.col(f"_{name}_a") + (F.col(f"_{name}_b") - F.col(f"_{name}_a")) * (at - F.floor(at))
+
+    return found.select(group, *[between(name, share).alias(name) for name, share in shares.items()])

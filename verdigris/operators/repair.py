@@ -1,8 +1,8 @@
 """Damaged JSON made readable (T24).
 
 The first balanced object or array is looked for, with quoted text passed over;
-where the text breaks off, what is open is closed: an unfinished string, a key
-without a value and open brackets. Trailing commas go. Repeated keys keep the
+where the text breaks off, what is open is closed: an unfinished string, open
+brackets, and a key that a value was to follow; a key alone goes. Trailing commas go. Repeated keys keep the
 last value.
 
 Defined results: null, blank and texts without a bracket give no value and the
@@ -84,7 +84,7 @@ def repaired(text: str):
     if quoted:
         part = (part[:-1] if part.endswith("\\") else part) + '"'
     closing = "".join(reversed(opened))
-    for tried in (part, _half_value.sub("null", part), _half_pair.sub("", part), part + " null", part + ": null"):
+    for tried in (part, _half_value.sub("null", part), part + " null", _half_pair.sub("", part)):
         value, ok = _read(_comma.sub("", tried.rstrip().rstrip(",") + closing))
         if ok:
             return "repaired", value

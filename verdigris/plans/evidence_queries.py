@@ -26,18 +26,13 @@ def _evidence(spark, d):
 def e_signals(spark: SparkSession, d: str) -> DataFrame:
     """Rank, overlap and role signals of every row, and their weighted total."""
     q = table(spark, d, "turns").select(F.col("turn_row_id"), t.token_set(F.col("user_query")).alias("q"))
-    e = _evidence(spark, d).join(q, ISSUE, "left").withColumn("c", t.token_set(F.col("content")))
+    e = _evidence(spark, d).select(KEY, ISSUE, "semantic_score", "evidence_roles", t.token_set(F.col("content")).alias("c")).join(q, ISSUE, "left")
     overlap = F.size(F.array_intersect("q", "c")) / F.greatest(F.lit(1), F.size("q"))
-    signals = {
-        "semantic": (ev.rank_signal(ISSUE, "semantic_score", KEY), 1.0),
-        "lexical": (F.when(F.col("q").isNotNull(), overlap), 1.0),
-        "roles": (F.least(F.size("evidence_roles"), F.lit(3)) / 3, 2.5),
-    }
-    return e.select(
-        KEY,
-        *[F.round(s, 6).alias(n) for n, (s, _) in signals.items()],
-        F.round(ev.weighted(signals), 5).alias("total"),
-    )
+    # Numbers only go on to the window.
+    scored = e.select(KEY, ISSUE, "semantic_score", F.when(F.col("q").isNotNull(), overlap).alias("lexical"), (F.least(F.size("evidence_roles"), F.lit(3)) / 3).alias("roles"))
+    ranked = scored.withColumn("semantic", ev.rank_signal(ISSUE, "semantic_score", KEY))
+    signals = {name: (F.col(name), weight) for name, weight in (("semantic", 1.0), ("lexical", 1.0), ("roles", 2.5))}
+    return ranked.select(KEY, *[F.round(name, 6).alias(name) for name in signals], F.round(ev.weighted(signals), 5).alias("total"))
 
 
 def e_siblings(spark: SparkSession, d: str) -> DataFrame:

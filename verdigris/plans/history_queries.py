@@ -74,6 +74,11 @@ def l_split(spark: SparkSession, d: str) -> DataFrame:
     return ds.split(table(spark, d, "phase5b_eval_dataset", "row_id", "question_id"), "question_id").select("row_id", "split")
 
 
+def l_split_exact(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the questions, at least 80, at most a fifth, are for validation."""
+    return ds.split_exact(table(spark, d, "phase5b_eval_dataset", "row_id", "question_id"), "question_id").select("row_id", "split")
+
+
 def l_merge(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "phase5b_eval_dataset", "row_id", "question_id")
     return ds.merged(q.where("row_id % 3 <> 0"), q.where("row_id % 3 = 0"), "question_id")
@@ -208,6 +213,9 @@ SELECT conv_id, md5(text) AS text_md5, length(text)::INT AS n_chars FROM x""",
         "l_chat": f"""WITH x AS (SELECT case_row_id, query, CASE WHEN expected_topic IS NOT NULL AND NOT contains(full_answer, expected_topic) THEN full_answer || chr(10) || chr(10) || 'Nguồn: ' || expected_topic ELSE full_answer END AS said FROM phase5_7_cases_results WHERE full_answer IS NOT NULL)
 SELECT case_row_id, md5(to_json({{'messages': [{{'role': 'system', 'content': '{SYSTEM}'}}, {{'role': 'user', 'content': query}}, {{'role': 'assistant', 'content': said}}]}})::VARCHAR) AS record_md5 FROM x""",
         "l_split": """SELECT row_id, CASE WHEN ('0x' || substr(md5(question_id || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE THEN 'val' ELSE 'train' END AS split FROM phase5b_eval_dataset""",
+        "l_split_exact": """WITH k AS (SELECT DISTINCT question_id, ('0x' || substr(md5(question_id || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS share FROM phase5b_eval_dataset WHERE question_id IS NOT NULL),
+n AS (SELECT least(greatest(80, floor(count(*) * 0.1)), floor(count(*) / 5)) AS n FROM k), v AS (SELECT question_id FROM k QUALIFY row_number() OVER (ORDER BY share, question_id) <= (SELECT n FROM n))
+SELECT row_id, CASE WHEN question_id IN (SELECT question_id FROM v) THEN 'val' ELSE 'train' END AS split FROM phase5b_eval_dataset""",
         "l_merge": """SELECT row_id, question_id FROM phase5b_eval_dataset WHERE row_id % 3 <> 0 OR question_id NOT IN (SELECT question_id FROM phase5b_eval_dataset WHERE row_id % 3 <> 0)""",
         "l_sub_questions": """WITH x AS (SELECT turn_row_id, trim(user_query, ' ') AS q, list_filter(list_transform(regexp_split_to_array(user_query, '[?\\n]'), lambda p: trim(p, ' ')), lambda p: length(p) >= 20) AS p FROM turns WHERE user_query IS NOT NULL),
 y AS (SELECT turn_row_id, list_concat([q], CASE WHEN len(p) > 1 THEN p ELSE [] END) AS a FROM x) SELECT turn_row_id, generate_subscripts(a, 1)::INT - 1 AS part_no, unnest(a) AS part FROM y""",

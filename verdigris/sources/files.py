@@ -114,6 +114,12 @@ def _pointer(spark: SparkSession, path: str):
         return None
 
 
+def version_of(spark: SparkSession, path: str) -> str | None:
+    """The version that was published last, or None."""
+    last = _pointer(spark, path)
+    return None if last is None else last.version
+
+
 def publish(df: DataFrame, path: str, version: str) -> None:
     """A new version beside the old ones, then one more pointer to it: a reader finds the old pointer until the new one is whole."""
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
