@@ -92,3 +92,9 @@ def test_long_texts_take_linear_time():
     middle = time.process_time()
     large = len(pii.detect(unit * 2000))
     assert large == 10 * small == 6000 and time.process_time() - middle < 30 * (middle - began + 0.05)
+
+
+def test_families_outside_the_list_are_found_after_a_cue():
+    found = lambda text: [text[a:b] for a, b, kind in pii.detect(text) if kind == "PERSON"]
+    assert found("Gọi chị Xà Văn Rin nhé, và bà Khuất Thị Mơ.") == ["Xà Văn Rin", "Khuất Thị Mơ"]
+    assert found("Nhà máy ở Suối Đá Bạc và Ngã Năm Cũ, hồ sơ do Phòng Nhân Sự giữ.") == []

@@ -211,12 +211,12 @@ def _case(token: str) -> str:
 
 
 class _Begins(dict):
-    """Per token whether a name may begin with it: a family name, or a capitalised word of plain letters."""
+    """Per token whether a name may begin with it: a family name, a capitalised syllable, or a capitalised word of plain letters."""
 
     def __missing__(self, token: str) -> bool:
         if len(self) > 200_000:
             self.clear()
-        self[token] = bare(token) in _family or token.isascii() and token[0].isupper() and token.lower() not in _not_name
+        self[token] = bare(token) in _family or token[0].isupper() and (token.isascii() and token.lower() not in _not_name or _syllable.fullmatch(bare(token)) is not None)
         return self[token]
 
 
@@ -276,6 +276,18 @@ def _person_spans(text: str):
                     spans.append((start, tokens[k][1]))
                     i = k + 1
                     continue
+        if case in "TU" and flat not in _family and joined(i) and joined(i + 1) and _syllable.fullmatch(flat) and low not in _not_name:
+            # A family name that isn't listed: a middle and a given name follow, and something before it leads to a name.
+            two, three = tokens[i + 1][2], tokens[i + 2][2]
+            ascii_name = (token + two + three).isascii()
+            known = bare(two) in _middle and (ascii_name or two.lower() in _middle_exact)
+            if known and _case(two) == _case(three) == case and _syllable.fullmatch(bare(three)) and cue(start):
+                k = i + 2
+                if joined(k) and _case(tokens[k + 1][2]) == case and bare(tokens[k + 1][2]) in _syllables_of_names:
+                    k += 1
+                spans.append((start, tokens[k][1]))
+                i = k + 1
+                continue
         if case in "TU" and token.isascii() and joined(i) and low not in _not_name:
             two = tokens[i + 1][2]
             if two.isascii() and _case(two) in "TU" and len(token) > 2 and len(two) > 2 and two.lower() not in _not_name:
