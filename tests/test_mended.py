@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import encode
 from verdigris.functions import text as t
 from verdigris.operators import graph, history, index, metrics, repair, restore, retrieve, structure, timeline
+from verdigris import session
 from verdigris.sources import files
 
 NOON = dt.datetime(2031, 1, 1, 12)
@@ -71,9 +72,9 @@ def test_bm25_against_brute_force(spark, tmp_path, monkeypatch):
 
     rng = random.Random(6)
     words = ["lương", "nghỉ", "phép", "thưởng", "12/2019/nđ-cp", "ca"]
-    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(200)] + [(900, None)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(200)] + [(900, None), (901, "phép " * 300)]
     queries = [(q, " ".join(rng.choices(words + ["lạ"], k=4))) for q in range(7)] + [(50, ""), (51, None)]
-    monkeypatch.setattr(index, "BLOCK", 16)
+    monkeypatch.setattr(session, "BATCH_ROWS", 16)  # several blocks
     held = index.Index(spark.createDataFrame(rows, "id bigint, body string"), "id", "body", str(tmp_path))
     asked = spark.createDataFrame(queries, "query bigint, text string")
     texts = {i: s.split() for i, s in rows if s}

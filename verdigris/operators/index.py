@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -14,9 +15,11 @@ from verdigris.functions.text import tokens
 from verdigris.session import lasting_folder, map_batches, spread
 
 
-#: Chunks of a block of postings, and chunks that a bucket of terms is sized for.
-BLOCK, PER_BUCKET = 2048, 100_000
-#: The term under which every chunk with tokens stands.
+#: Chunks that a bucket of terms is sized for.
+PER_BUCKET = 100_000
+#: Goes up when the packed rows or the tokens change, so that no index of another make is opened.
+FORMAT = 2
+#: The term under which every chunk with tokens stands; it sorts before all others.
 ALL = "\x00"
 
 
@@ -47,20 +50,49 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class _Pack:
-    """The postings of a term in a block of chunks as bytes, by ascending key."""
+    """A batch of chunks as a block of postings, made where the chunks are.
+
+    The row of ``ALL`` has the block's keys and lengths; each term's row has the
+    places of its chunks among them and how often it stands there, in one byte
+    where that will do. A block's number is its task's and its place in it, the
+    same when a lost task is run again.
+    """
+
+    def __init__(self):
+        self.made = 0
 
     def __call__(self, batch):
-        out: dict = {"bucket": batch["bucket"], "term": batch["term"], "block": batch["block"], "n": [], "keys": [], "tfs": [], "dls": []}
-        for rows in batch["rows"]:
-            rows.sort(key=lambda r: r["key"])
-            out["n"].append(len(rows))
-            out["keys"].append(np.array([r["key"] for r in rows], np.int64).tobytes())
-            out["tfs"].append(np.array([r["tf"] for r in rows], np.int32).tobytes())
-            out["dls"].append(np.array([r["dl"] for r in rows], np.int32).tobytes())
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 20 | self.made
+        self.made += 1
+        held = [(key, words) for key, words in zip(batch["key"], batch["words"]) if words]
+        places: dict = {}
+        for place, (_, words) in enumerate(held):
+            for term, tf in Counter(words).items():
+                places.setdefault(term, []).append((place, tf))
+        out: dict = {"term": [], "block": [], "n": [], "at": [], "tfs": []}
+        if held:
+            out["term"].append(ALL)
+            out["n"].append(len(held))
+            out["at"].append(np.array([key for key, _ in held], np.int64).tobytes())
+            out["tfs"].append(np.array([len(words) for _, words in held], np.int32).tobytes())
+        for term, found in places.items():
+            out["term"].append(term)
+            out["n"].append(len(found))
+            out["at"].append(array("H", [place for place, _ in found]).tobytes())
+            tfs = [tf for _, tf in found]
+            out["tfs"].append(bytes(tfs) if max(tfs) < 256 else np.array(tfs, np.uint32).tobytes())
+        out["block"] = [block] * len(out["term"])
         return out
 
 
-PACKED = "bucket int, term string, block int, n int, keys binary, tfs binary, dls binary"
+def unpacked(n: int, at: bytes, tfs: bytes):
+    """Places and counts of a term's row."""
+    return np.frombuffer(at, np.uint16), np.frombuffer(tfs, np.uint8 if len(tfs) == n else np.uint32)
+
+
+PACKED = "term string, block bigint, n int, at binary, tfs binary"
 
 
 def content_facts(chunks: DataFrame, key: str, text: str) -> str:
@@ -82,9 +114,8 @@ class Index:
         self.spark = chunks.sparkSession
         self.digest = content_facts(chunks, key, text)
         n = int(self.digest.split("-")[0])
-        self.n_blocks = max(1, -(-n // BLOCK))
         self.n_buckets = 16 << max(0, (n // PER_BUCKET // 16).bit_length())
-        self.path = f"{folder or lasting_folder(self.spark)}/verdigris-index/{self.digest}"
+        self.path = f"{folder or lasting_folder(self.spark)}/verdigris-index/{FORMAT}-{self.digest}"
         facts = self._facts()
         if facts is None:
             self._build(chunks, key, text)
@@ -100,12 +131,11 @@ class Index:
         return None if row is None else (row.n or 0, row.total or 0)
 
     def _build(self, chunks, key, text):
-        rows = postings(chunks, key, text).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(self.n_blocks)).cast("int"))
-        grouped = rows.groupBy("term", "block").agg(F.collect_list(F.struct("key", "tf", "dl")).alias("rows"))
-        packed = map_batches(grouped.select(self.bucket("term").alias("bucket"), "term", "block", "rows"), _Pack(), PACKED)
+        words = chunks.select(F.col(key).cast("bigint").alias("key"), tokens(F.col(text)).alias("words"))
+        packed = map_batches(words, _Pack(), PACKED).withColumn("bucket", self.bucket("term"))
         spread_out = packed.repartition("bucket").sortWithinPartitions("bucket", "term", "block")
         spread_out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        whole = self.packed.where(F.col("term") == ALL).select("n", "tfs")
+        whole = self.packed.where((F.col("bucket") == self.bucket(F.lit(ALL))) & (F.col("term") == ALL)).select("n", "tfs")
         sums = map_batches(whole, _Sums(), "n bigint, total bigint").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         sums.coalesce(1).write.mode("overwrite").json(f"{self.path}/facts")
 
@@ -114,12 +144,11 @@ class Index:
 
     @property
     def packed(self) -> DataFrame:
-        schema = PACKED.replace("bucket int, ", "") + ", bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
+        return self.spark.read.schema(f"{PACKED}, bucket int").parquet(f"{self.path}/postings")
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
-        """The packed postings of the terms; only their buckets are read."""
-        terms = terms.select("term").distinct()
+        """The packed postings of the terms, and the rows of ``ALL``; only their buckets are read."""
+        terms = terms.select("term").distinct().unionByName(self.spark.range(1).select(F.lit(ALL).alias("term")))
         buckets = [row[0] for row in terms.select(self.bucket("term")).distinct().collect()]  # at most n_buckets numbers
         return self.packed.where(F.col("bucket").isin(buckets)).join(terms, "term", "left_semi")
 
