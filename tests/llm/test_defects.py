@@ -98,3 +98,15 @@ def test_table_of_bits(spark):
 def test_abstain_goes_along(spark):
     df = spark.createDataFrame([("t", 1, "Hỏi?", None, True), ("t", 2, "Hỏi?", "Được nghỉ.", None)], ROWS + ", abstain boolean")
     assert sorted((r.row_id, r.abstain, r.defect) for r in defects.judged(df, defects.Languages([])).collect()) == [(1, True, "EMPTY"), (2, None, None)]
+
+
+@pytest.mark.parametrize(
+    "answer, declines",
+    [
+        ("I'm sorry, but I can't help with that.", True), ("Câu này tôi chịu, bạn hỏi cơ quan khác nhé.", True), ("Xin phép bỏ qua câu hỏi liên quan đến lương vì lý do chính sách.", True), ("Tôi xin lỗi, nhưng tôi không thể trả lời.", True),
+        ("Tôi chịu trách nhiệm trả lời trong tháng này.", False), ("I'm sorry, but the term is 3 months; I can't help with that.", False), ("Xin lỗi vì trả lời muộn: thời hạn là 9 ngày.", False), ("Tôi không thể trả lời hết, nhưng thời hạn là một tháng.", False),
+        ("Wages already paid to the trainee cannot be claimed back for that reason.", False),
+    ],
+)
+def test_apologies_give_no_substance(answer, declines):
+    assert defects.refuses(answer) == declines

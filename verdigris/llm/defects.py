@@ -224,7 +224,7 @@ def copies(question: str, answer: str) -> bool:
 _refuses = regex.compile(
     r"\b(?:khong the(?! tu choi)|khong duoc phep|chua the|khong co kha nang|khong co tham quyen|tu choi|khong|chua)\b(?:(?!\bnhung\b|\bsong\b|\btuy nhien\b).){0,40}?"
     r"(?<!khoan |bo phan |can bo |cong ty )\b(?:tra loi|tu van|ho tro|giup|ket luan|dua ra|cung cap|giai dap|binh luan|y kien)\b"
-    r"|\bngoai pham vi\b|\b(?:khong|chua) (?:co|du|tim thay|tim duoc)(?: \w+){0,3} (?:thong tin|can cu|du lieu|co so|tai lieu|cau tra loi)"
+    r"|\b(?:toi|minh|em|bot|chung toi) (?:xin |danh |cung )?chiu\b(?! trach| phi| phat| su| trach nhiem| anh huong)|\b(?:bo qua|mien ban|khong ban|ne) (?:den |ve |toi )?(?:cau hoi|cau nay|noi dung nay|yeu cau|chu de)\b|\b(?:skip|pass on|rather not (?:answer|discuss))\b|\bngoai pham vi\b|\b(?:khong|chua) (?:co|du|tim thay|tim duoc)(?: \w+){0,3} (?:thong tin|can cu|du lieu|co so|tai lieu|cau tra loi)"
     r"|\bchua du\b|\b(?:can'?t|cannot|can not|unable|not able|not allowed|not permitted|decline|won'?t|will not)\b.{0,40}\b(?:help|answer|advise|assist|comment|provide|say|respond|discuss)\b"
     r"|\boutside (?:of )?(?:what|my|the scope)|\bbeyond (?:my|the) scope|\bno answer can\b|\bno information\b"
     r"|无法(?:回答|提供)|不能(?:回答|提供)|お答えできま|回答できま|답변할 수 없|답변드릴 수 없"
@@ -234,6 +234,11 @@ _support = regex.compile(
     r"^\W*(?:toi |chung toi )?(?:xin loi|rat tiec|rat xin loi|mong (?:ban|anh|chi)|thanh that|xin cam on|cam on|vui long|(?:ban|anh|chi|anh chi) (?:co the |nen |hay |vui long |can )?(?:lien he|tim|hoi|gap|gui|tham khao)|"
     r"chao|kinh chao|than men|tran trong|thank|please|sorry|i'?m sorry|i am sorry|we are sorry|hi\b|hello|chuc|ban tu van|with (?:kind|best) regards|try again|hay )"
 )
+# An apology before a refusal, with the "but" that leads on from it: it gives no substance.
+_sorry = regex.compile(
+    r"^\W*(?:(?:toi|chung toi|minh|em|i|we)\W+)?(?:rat |thanh that |very |really )?(?:xin loi|tiec|i'?m (?:very |so |really )?sorry|i am (?:very |so |really )?sorry|we are sorry|we'?re sorry|sorry|unfortunately|i apologi[sz]e|apologies)"
+    r"(?: ban| anh chi| quy khach)?\W*(?:nhung|song|but)?\W+(?=\w)"
+)
 _sentences = regex.compile(r"[^.!?。！？\n]+")
 
 
@@ -244,7 +249,8 @@ def refuses(answer: str) -> bool:
         sentence = bare(lookalike.by_table(m[0])).replace("’", "'").strip(" \t*_-–:,;\"'“”()")
         if not any(c.isalnum() for c in sentence):
             continue
-        if _refuses.search(sentence) and not _substance.search(sentence):
+        rest = _sorry.sub("", sentence)
+        if _refuses.search(rest) and not _substance.search(rest):
             declined = True
         elif not _support.search(sentence) or _substance.search(sentence):
             return False
