@@ -87,3 +87,19 @@ def test_unwraps_documents_of_every_genre(spark, monkeypatch):
     documents = spark.createDataFrame(rows, "doc_id bigint, text string, genre string")
     monkeypatch.setattr(q, "table", lambda *_: documents)
     assert {r.doc_id for r in q.st_unwrapped(spark, "").collect()} == {1, 2, 3}
+
+
+def test_prepared_text_is_worked_out_once_for_each_step(spark, monkeypatch):
+    """Put into each other, the steps named the question's text hundreds of times in the plan."""
+    from verdigris.plans import parsing_queries as p
+
+    rows = [(1, " Cty nợ lương em, cho nghỉ? "), (2, None), (3, "Làm thêm ban đêm tại cty"), (4, "thời tiết")]
+    monkeypatch.setattr(p, "table", lambda *_: spark.createDataFrame(rows, "turn_row_id bigint, user_query string"))
+    made = p.t_prepared(spark, "")
+    assert {r.turn_row_id: r.prepared for r in made.collect()} == {
+        1: "công ty nợ lương tôi, cho nghỉ chậm trả lương tiền chấm dứt hợp đồng đơn phương tiền lương",
+        2: " ",
+        3: "làm thêm ban đêm tại công ty phụ cấp ca đêm làm thêm giờ",
+        4: "thời tiết ",
+    }
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("user_query") < 10

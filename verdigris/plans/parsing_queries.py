@@ -97,8 +97,11 @@ def t_mapped(spark: SparkSession, d: str) -> DataFrame:
 
 def t_prepared(spark: SparkSession, d: str) -> DataFrame:
     """A question made ready for retrieval: normalised, slang rewritten, mapped, expanded."""
-    q = t.mapped(t.rewrite(t.normalize_query(F.col("user_query")), SLANG), MAPPED)
-    return table(spark, d, "turns").select("turn_row_id", t.expand(q, EXPANSIONS).alias("prepared"))
+    # A column for each step: every step names its text many times, and steps put into each other would work it out anew each time.
+    q = table(spark, d, "turns").select("turn_row_id", t.normalize_query(F.col("user_query")).alias("q"))
+    for step, given in ((t.rewrite, SLANG), (t.mapped, MAPPED), (t.expand, EXPANSIONS)):
+        q = q.select("turn_row_id", step(F.col("q"), given).alias("q"))
+    return q.withColumnRenamed("q", "prepared")
 
 
 def t_paragraphs(spark: SparkSession, d: str) -> DataFrame:
