@@ -1,6 +1,9 @@
 """Operators that once did less than their whole job, each on a fixture that showed it."""
 
+from pyspark.sql import functions as F
+
 from verdigris.operators import retrieve
+from verdigris.operators.retrieve import top_k
 
 
 def distance(a, b):
@@ -103,3 +106,21 @@ def test_prepared_text_is_worked_out_once_for_each_step(spark, monkeypatch):
         4: "thời tiết ",
     }
     assert made._jdf.queryExecution().optimizedPlan().toString().count("user_query") < 10
+
+
+def test_a_task_sends_on_one_list_per_query(spark, monkeypatch):
+    """Each block of vectors sent on k rows per query, and the vectors were written anew for every block of queries."""
+    import numpy as np
+
+    v = np.random.default_rng(4).integers(-3, 4, size=(3000, 4)) / 4.0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(-1, None)], "key int, vector array<double>").coalesce(1)
+    q = df.where("key % 300 = 0").select(F.col("key").alias("query"), "vector")
+    sent = []
+    monkeypatch.setattr(retrieve, "spread", lambda rows: rows, raising=False)
+    monkeypatch.setattr(retrieve, "top_k", lambda near, k, **more: sent.append(near) or top_k(near, k, **more))
+    held = retrieve.cosine_top_k(q, df, k=5, block=128).collect()
+    for query in range(0, 3000, 300):
+        best = np.lexsort((np.arange(3000), -np.round(v @ v[query], 6)))[:5]
+        assert [r.key for r in sorted(held, key=lambda r: r.rank) if r.query == query] == best.tolist()
+    assert sent[0].count() == 10 * 5
+    assert retrieve.cosine_top_k(q.where("false"), df).count() == 0
