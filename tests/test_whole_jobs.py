@@ -124,3 +124,34 @@ def test_a_task_sends_on_one_list_per_query(spark, monkeypatch):
         assert [r.key for r in sorted(held, key=lambda r: r.rank) if r.query == query] == best.tolist()
     assert sent[0].count() == 10 * 5
     assert retrieve.cosine_top_k(q.where("false"), df).count() == 0
+
+
+def test_anchors_are_found_without_a_row_per_shared_word(spark, monkeypatch):
+    """Every pair of questions with a common word was a row per such word, with both texts, on the way to the 25 nearest."""
+    import random
+
+    from verdigris.plans import upkeep_queries as u
+
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(25)]
+    texts = {i: rng.sample(pool, rng.randint(0, 12)) for i in range(1, 400)} | {50: pool[:8], 100: pool[3:11], 150: pool[:4] * 30}
+    texts |= {500: texts[50], 501: texts[50], 502: pool[:7], 503: [*pool[:8], "w9"], 504: ["zz", *pool[1:8]], 505: pool[3:10], 506: [*pool[:4] * 29, "x"]}
+    rows = [(i, " ".join(words)) for i, words in texts.items()] + [(600, None)]
+    monkeypatch.setattr(u, "table", lambda *_: spark.createDataFrame(rows, "row_id bigint, question string"))
+    made = u._matches(spark, "")
+    want, first = {}, {}
+    for i, words in texts.items():
+        first.setdefault(" ".join(words), i)
+    for query in range(50, 501, 50):
+        asked = " ".join(texts.get(query, []))
+        long, held = len(asked) >= 120, []
+        for text, key in first.items():
+            own, shared = set(text.split()), set(text.split()) & set(asked.split())
+            if text != asked and len(shared) >= (3 if long else 4) and round(len(shared) / len(own), 6) >= (0.55 if long else 0.6):
+                held.append((-round(len(shared) / len(own), 6), key, text))
+        for share, key, text in sorted(held)[:25]:
+            ratio = round(1 - distance(text, asked) / max(len(text), len(asked)), 6)
+            if ratio >= (0.78 if long else 0.86) or ratio >= (0.68 if long else 0.7) and -share >= 0.85:
+                want[query, key] = (ratio, -share)
+    assert {(x.query, x.key): (x.ratio, x.containment) for x in made.collect()} == want
+    assert want and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
