@@ -155,3 +155,20 @@ def test_anchors_are_found_without_a_row_per_shared_word(spark, monkeypatch):
                 want[query, key] = (ratio, -share)
     assert {(x.query, x.key): (x.ratio, x.containment) for x in made.collect()} == want
     assert want and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_metrics_ranks_without_a_list_per_block(spark, monkeypatch):
+    from verdigris.plans import retrieval_queries as r
+
+    texts = [f"điều {i % 97} lương {i}" for i in range(3000)]
+    tables = {
+        "scored_evidence": spark.createDataFrame([(i, x, "1/2020", str(i)) for i, x in enumerate(texts)], "evidence_row_id bigint, content string, document_no string, article_number string"),
+        "phase5b_eval_dataset": spark.createDataFrame([(50 * i, texts[i], "A", "1/2020", i) for i in range(1, 4)], "row_id bigint, question string, query_type string, expected_doc_id string, expected_article int"),
+    }
+    monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
+    sent = []
+    monkeypatch.setattr(retrieve, "top_k", lambda near, k, **more: sent.append(near) or top_k(near, k, **more))
+    got = {x.query_type: x for x in r.dense_metrics(spark, "").collect()}
+    assert got["ALL"].n_scorable == got["A"].n == 3 and got["ALL"].hit_10 == 1.0
+    assert len(sent) == 2 and all(near.count() <= 3 * 40 * near.rdd.getNumPartitions() for near in sent)
+    assert all(near.rdd.getNumPartitions() <= 2 for near in sent)
