@@ -172,3 +172,54 @@ def test_dense_metrics_ranks_without_a_list_per_block(spark, monkeypatch):
     assert got["ALL"].n_scorable == got["A"].n == 3 and got["ALL"].hit_10 == 1.0
     assert len(sent) == 2 and all(near.count() <= 3 * 40 * near.rdd.getNumPartitions() for near in sent)
     assert all(near.rdd.getNumPartitions() <= 2 for near in sent)
+
+
+def test_dense_hybrid_ranks_every_question(spark, monkeypatch):
+    """Only questions whose row id is divisible by 50 were ranked; several passes and blocks give the same as one."""
+    import hashlib
+    import math
+    import random
+
+    from verdigris.plans import retrieval_queries as r
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choices(words[: rng.choice((4, 30))], k=rng.randint(1, 14))) for i in range(700)} | {700: None, 701: ""}
+    asked = {i: " ".join(rng.choices(words, k=rng.randint(1, 9))) for i in range(1, 31)} | {31: "", 49: "w1 w1 w2", 50: "w3"}
+    tables = {
+        "scored_evidence": spark.createDataFrame(list(texts.items()), "evidence_row_id bigint, content string"),
+        "phase5b_eval_dataset": spark.createDataFrame([*asked.items(), (None, "w1")], "row_id bigint, question string"),
+    }
+    monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
+
+    held = {i: s.split() for i, s in texts.items() if s}
+    n, mean = len(held), sum(map(len, held.values())) / len(held)
+    df = {w: sum(w in s for s in held.values()) for w in words}
+
+    def sums(s):
+        out = [0] * 64
+        for w in s:
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            out[h % 64] += 1 if h // 64 % 2 == 0 else -1
+        return out
+
+    vectors, want = {i: sums(s) for i, s in held.items()}, {}
+    for query, text in asked.items():
+        lexical, dense, mine = {}, {}, sums(text.split())
+        for i, s in held.items():
+            parts = [round(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * s.count(w) * 2.5 / (s.count(w) + 1.5 * (0.25 + 0.75 * len(s) / mean)) * 1e8) for w in text.split() if w in s]
+            if parts:
+                lexical[i] = sum(parts)
+            if any(mine) and any(vectors[i]):
+                x = sum(a * b for a, b in zip(mine, vectors[i])) / (math.sqrt(sum(a * a for a in mine)) * math.sqrt(sum(b * b for b in vectors[i]))) * 1e6
+                dense[i] = math.floor(abs(x) + 0.5) * (1 if x > 0 else -1)
+        arms = [{i: rank for rank, i in enumerate(sorted(arm, key=lambda i: (-arm[i], i))[:40], 1)} for arm in (lexical, dense)]
+        fused = {i: round(sum(1 / (60 + arm[i]) for arm in arms if i in arm), 10) for i in {*arms[0], *arms[1]}}
+        best = sorted(fused, key=lambda i: (-fused[i], arms[0].get(i, 99), arms[1].get(i, 99), i))[:10]
+        want |= {(query, rank): (i, arms[0].get(i), arms[1].get(i)) for rank, i in enumerate(best, 1)}
+    assert {q for q, _ in want} >= {1, 49, 50}
+    for terms, group, together in ((200_000, 10_000, 262_144), (40, 7, 100)):
+        monkeypatch.setattr(retrieve, "QUERY_TERMS", terms)
+        monkeypatch.setattr(retrieve, "QUERY_GROUP", group, raising=False)
+        monkeypatch.setattr(retrieve, "TOGETHER", together, raising=False)
+        assert {(x.query, x.rank): (x.evidence_row_id, x.rank_a, x.rank_b) for x in r.dense_hybrid(spark, "").collect()} == want
