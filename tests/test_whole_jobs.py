@@ -223,3 +223,18 @@ def test_dense_hybrid_ranks_every_question(spark, monkeypatch):
         monkeypatch.setattr(retrieve, "QUERY_GROUP", group, raising=False)
         monkeypatch.setattr(retrieve, "TOGETHER", together, raising=False)
         assert {(x.query, x.rank): (x.evidence_row_id, x.rank_a, x.rank_b) for x in r.dense_hybrid(spark, "").collect()} == want
+
+
+def test_dense_metrics_counts_every_question(spark, monkeypatch):
+    """Only questions whose row id is divisible by 50 were counted."""
+    from verdigris.plans import retrieval_queries as r
+
+    texts = ["lương tháng", "nghỉ phép năm", "trợ cấp thôi việc", "làm thêm giờ"]
+    asked = [(1, texts[0], "A", "1/2020", 0), (2, texts[1], "A", "1/2020", 3), (3, texts[2], "B", None, None), (50, texts[3], "B", "1/2020", 3), (101, "", "B", "1/2020", 1)]
+    tables = {
+        "scored_evidence": spark.createDataFrame([(i, x, "1/2020", str(i)) for i, x in enumerate(texts)], "evidence_row_id bigint, content string, document_no string, article_number string"),
+        "phase5b_eval_dataset": spark.createDataFrame(asked, "row_id bigint, question string, query_type string, expected_doc_id string, expected_article int"),
+    }
+    monkeypatch.setattr(r, "table", lambda _, __, name, *___: tables[name])
+    got = {x.query_type: (x.n, x.n_scorable, x.hit_1) for x in r.dense_metrics(spark, "").collect()}
+    assert got == {"A": (2, 2, 0.5), "B": (3, 2, 0.5), "ALL": (5, 4, 0.5)}
