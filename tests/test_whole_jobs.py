@@ -218,10 +218,10 @@ def test_dense_hybrid_ranks_every_question(spark, monkeypatch):
         best = sorted(fused, key=lambda i: (-fused[i], arms[0].get(i, 99), arms[1].get(i, 99), i))[:10]
         want |= {(query, rank): (i, arms[0].get(i), arms[1].get(i)) for rank, i in enumerate(best, 1)}
     assert {q for q, _ in want} >= {1, 49, 50}
-    for terms, group, together in ((200_000, 10_000, 262_144), (40, 7, 100)):
+    for terms, group, common in ((200_000, 10_000, 384), (40, 7, 5)):
         monkeypatch.setattr(retrieve, "QUERY_TERMS", terms)
         monkeypatch.setattr(retrieve, "QUERY_GROUP", group, raising=False)
-        monkeypatch.setattr(retrieve, "TOGETHER", together, raising=False)
+        monkeypatch.setattr(retrieve, "COMMON", common, raising=False)
         assert {(x.query, x.rank): (x.evidence_row_id, x.rank_a, x.rank_b) for x in r.dense_hybrid(spark, "").collect()} == want
 
 
